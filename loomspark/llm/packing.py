@@ -58,11 +58,11 @@ class Tightest:
         return None
 
 
-def plan(histogram: dict[int, int], window: int = WINDOW, max_gap: int = 0) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]], int, int]:
+def plan(histogram: dict[int, int], window: int = WINDOW, max_gap: int = 0) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]], int, int]:
     """Places for remainders by length.
 
-    Returns (moves, loose, windows, pooled): moves (length, first rank, first window, offset), in ascending order of length and
-    rank, one for each run of ranks that goes to as many windows in order; loose (first window, one after the last,
+    Returns (moves, loose, windows, pooled): moves (length, first rank, first window, offset, how many to a window), in
+    ascending order of length and rank, one for each run of ranks that goes to windows in order; loose (first window, one after the last,
     fill, start in the pool) of the windows to cut anew; how many windows there are, and the tokens of the pool.
     """
     tree, open_at, moves, windows = Tightest(window), defaultdict(list), [], 0
@@ -71,21 +71,27 @@ def plan(histogram: dict[int, int], window: int = WINDOW, max_gap: int = 0) -> t
         while left:
             room = tree.at_least(length)
             if room is None:
-                lo, n, room = windows, left, window
+                room, per = window, window // length
+                lo, n = windows, -(-left // per)
                 windows += n
             else:
                 lo, hi = open_at[room].pop()
-                n = min(left, hi - lo)
+                per = room // length
+                n = min(-(-left // per), hi - lo)
                 if n < hi - lo:
                     open_at[room].append((lo + n, hi))
                 if not open_at[room]:
                     tree.set(room, False)
-            moves.append((length, rank, lo, window - room))
-            if room > length:
-                open_at[room - length].append((lo, lo + n))
-                tree.set(room - length, True)
-            left -= n
-            rank += n
+            # having taken one, a window is the tightest for the next of this length, as long as it takes it
+            put = min(left, n * per)
+            moves.append((length, rank, lo, window - room, per))
+            filled, rest = divmod(put, per)
+            for first, after, room_left in ((lo, lo + filled, room - per * length), (lo + filled, lo + n, room - rest * length)):
+                if first < after and room_left:
+                    open_at[room_left].append((first, after))
+                    tree.set(room_left, True)
+            left -= put
+            rank += put
     loose, pooled = [], 0
     for room in sorted(open_at):
         fill = window - room
@@ -151,7 +157,7 @@ def pack(tokens: DataFrame, window: int = WINDOW, max_gap: int = 0) -> DataFrame
         .join(F.broadcast(offsets) if len(before) <= 1_000_000 else offsets, ["r", "salt"])
         .select("uid", (F.col("rank") + F.col("rank_base")).alias("rank"), (F.coalesce("full_at", F.lit(0)) + F.col("full_base")).alias("full_at"))
     )
-    m = np.array(moves, np.int64).reshape(-1, 4)
+    m = np.array(moves, np.int64).reshape(-1, 5)
     keys = m[:, 0] << 44 | m[:, 1]
     lo = np.array(loose, np.int64).reshape(-1, 4)
     edges = np.array(cuts, np.int64)
@@ -171,7 +177,8 @@ def pack(tokens: DataFrame, window: int = WINDOW, max_gap: int = 0) -> DataFrame
                 if not rest:
                     continue
                 j = int(np.searchsorted(keys, rest << 44 | rank[i], "right")) - 1
-                bin_, offset = int(m[j, 2]) + rank[i] - int(m[j, 1]), int(m[j, 3])
+                past, nth = divmod(rank[i] - int(m[j, 1]), int(m[j, 4]))
+                bin_, offset = int(m[j, 2]) + past, int(m[j, 3]) + nth * rest
                 q = int(np.searchsorted(lo[:, 0], bin_, "right")) - 1
                 if q < 0 or bin_ >= lo[q, 1]:
                     put(i, whole * window, rest, bin_, offset)
