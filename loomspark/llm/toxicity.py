@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.batches import groups, map_batches, schema_of, texts_of
+from loomspark.llm.batches import groups, map_batches, schema_of, small_batches, texts_of
 
 SAMPLE_ROWS = 8000
 #: Terms of the lexicon at most, the most telling first; a parameter of the model.
@@ -171,8 +171,8 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexico
         return 2 * sum(o * math.log(o / e) for o, e in cells if o > 0 and e > 0)
 
     odds = lambda a, b: math.log((a + 0.5) / (toxic + 1) / ((b + 0.5) / (clean + 1)))
-    told = sorted(((g2(a, b), t, a, b) for t, a, b in counts if a >= 6 and odds(a, b) > 1.4), reverse=True)
-    told = [x for x in told if x[0] >= 25]
+    told = sorted(((g2(a, b), t, a, b) for t, a, b in counts if a >= 5 and odds(a, b) > 1.4), reverse=True)
+    told = [x for x in told if x[0] >= 20]
     words = {t: (a, b) for _, t, a, b in told if t[-1] != "*"}
     starts = {t[:-1]: (a, b) for _, t, a, b in told if t[-1] == "*"}
     # a beginning has to add to each word and each longer beginning under it
@@ -197,6 +197,7 @@ def regress(rows: list[tuple[list[float], int]], prior: list[float] = PRIOR) ->
         w = p * (1 - p)
         step = np.linalg.solve((x * w[:, None]).T @ x + 0.5 * np.eye(len(beta)), x.T @ (y - p) - 0.5 * (beta - prior))
         beta += np.clip(step, -1.5, 1.5)
+        beta[1:4] = np.maximum(beta[1:4], 0)  # a hit of any kind never speaks for a clean text
     return beta.tolist()
 
 
@@ -220,9 +221,9 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[Lexicon, list[float]]:
         if names := [*(tox.keys() | rest.keys())]:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([tox[t] for t in names]), pa.array([rest[t] for t in names])], names=["term", "toxic", "clean"])
 
-    counted = sample.mapInArrow(run, out).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = small_batches(sample).mapInArrow(run, out).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # the sample's bound bounds the table; what can't be a term stays where it is
-    rows = counted.where("term = '' or toxic >= 6 and toxic > clean / 4").collect()
+    rows = counted.where("term = '' or toxic >= 5 and toxic > clean / 4").collect()
     totals = next(((r["toxic"], r["clean"]) for r in rows if r["term"] == ""), (0, 0))
     lexicon = choose([(r["term"], r["toxic"], r["clean"]) for r in rows if r["term"]], *totals) if all(totals) else Lexicon({}, {})
     words, beginnings = lexicon.words, lexicon.beginnings
