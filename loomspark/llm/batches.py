@@ -11,7 +11,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Texts are handed on in groups of about this many characters, so that memory does not follow the length of texts.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 2_000_000
+ROWS_AT_ONCE = 2000
 
 
 def schema_of(ddl: str | StructType) -> StructType:
@@ -29,6 +30,14 @@ def groups(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[list]]
             yield [c.to_pylist() for c in part.columns]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session a batch to Python holds ROWS_AT_ONCE rows at most: a batch of whole texts is held on both sides."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_AT_ONCE:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+    return df
+
+
 def map_batches(df: DataFrame, start: Callable[[], Callable[..., list]], ddl: str, text: int = 1) -> DataFrame:
     """mapInArrow over groups of rows. start() makes, once for each task, f(*columns) -> columns of the result."""
     out = schema_of(ddl)
@@ -41,7 +50,7 @@ def map_batches(df: DataFrame, start: Callable[[], Callable[..., list]], ddl: st
             if made is not None and len(made[0]):
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in zip(made, arrow.types, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, out)
+    return small_batches(df).mapInArrow(run, out)
 
 
 def texts_of(documents: DataFrame) -> DataFrame:

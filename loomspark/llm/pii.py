@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.batches import groups, map_batches, texts_of
+from loomspark.llm.batches import groups, map_batches, small_batches, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 MORE = ("secret", "number", "handle", "name")
@@ -215,7 +215,7 @@ def fit(documents: DataFrame) -> list[float] | None:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], arrow.types[0]), pa.array(list(seen.values()), arrow.types[1])], schema=arrow)
 
-    rows = texts_of(documents).mapInArrow(run, out).groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    rows = small_batches(texts_of(documents)).mapInArrow(run, out).groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     return train({tuple(r["pattern"]): r["n"] for r in rows})
 
 

@@ -3,7 +3,8 @@
 A shard is a run of frames; a frame is
     length   u64   bytes of the payload
     check    u32   masked crc32 of the eight length bytes
-    payload        one byte (1: an id follows, 0: the id is null), the i64 document id, the token ids as u32
+    payload        one byte (lowest bit 1: the id isn't null; the rest: bytes of a token id, 2 or 4), the i64 document
+                   id, the token ids as unsigned integers of that width
     check    u32   masked crc32 of the payload
 all little-endian. The mask turns the checksum by 15 bits and adds a constant, so that checksums of data that hold
 checksums stay meaningful. Beside each shard lies an index: u64 offsets of the frames, then the shard's length, so
@@ -23,7 +24,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm.batches import groups, texts_of
+from loomspark.llm.batches import groups, small_batches, texts_of
 from loomspark.llm.tokenize import encoder
 from loomspark.sources.workspace import fresh_path
 
@@ -56,14 +57,25 @@ def frames(stream) -> Iterator[bytes]:
         yield payload
 
 
+def as_u32(payload: bytes) -> bytes:
+    """A payload's ids as little-endian unsigned 32-bit integers."""
+    import numpy as np
+
+    return np.frombuffer(payload, f"<u{payload[0] >> 1}", offset=KEY_BYTES).astype("<u4").tobytes()
+
+
 def _store(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
 
 
-def write_records(documents: DataFrame, encode: Callable[[], Callable[[list[str]], list[bytes]]], path: str, shards: int, end_id: int) -> DataFrame:
-    """Write the shards under path; one row for each: shard, path, records, tokens, bytes. encode() makes texts -> ids as u32 bytes."""
+def write_records(documents: DataFrame, encode: Callable[[], Callable[[list[str]], list[bytes]]], path: str, shards: int, end_id: int, width: int = 4) -> DataFrame:
+    """Write the shards under path; one row for each: shard, path, records, tokens, bytes.
+
+    encode() makes texts -> ids as u32 bytes; width is 2 for vocabularies of at most 65536 ids.
+    """
+    import numpy as np
     from pyspark import TaskContext
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -71,6 +83,7 @@ def write_records(documents: DataFrame, encode: Callable[[], Callable[[list[str]
 
     spark = documents.sparkSession
     arrow, end = to_arrow_schema(schema_of(SHARDS)), struct.pack("<I", end_id)
+    kind = f"<u{width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -82,7 +95,7 @@ def write_records(documents: DataFrame, encode: Callable[[], Callable[[list[str]
         with store.open_output_stream(own) as out:
             for ids, texts in groups(batches, 1):
                 for key, got in zip(ids, f(texts), strict=True):
-                    data = frame(struct.pack(KEY, key is not None, key or 0) + got + end)
+                    data = frame(struct.pack(KEY, (key is not None) + 2 * width, key or 0) + np.frombuffer(got + end, "<u4").astype(kind).tobytes())
                     out.write(data)
                     offsets.append(at)
                     at += len(data)
@@ -97,7 +110,7 @@ def write_records(documents: DataFrame, encode: Callable[[], Callable[[list[str]
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((shard, f"part-{shard:06d}", len(offsets), tokens, at), arrow.types, strict=True)], schema=arrow)
 
     dealt = texts_of(documents).repartitionByRange(max(1, shards), "doc_id").sortWithinPartitions("doc_id", "text")
-    made = sorted(dealt.mapInArrow(run, schema_of(SHARDS)).collect())  # one row a shard
+    made = sorted(small_batches(dealt).mapInArrow(run, schema_of(SHARDS)).collect())  # one row a shard
     return spark.createDataFrame(made, SHARDS)
 
 
@@ -124,9 +137,10 @@ def read_records(spark: SparkSession, path: str, manifest: DataFrame) -> DataFra
                     held, size = [], 0
                     for payload in frames(stream):
                         has, key = struct.unpack_from(KEY, payload)
-                        n = (len(payload) - KEY_BYTES) // 4
-                        held.append((shard, key if has else None, start, n, payload[KEY_BYTES :]))
-                        start, size = start + n, size + len(payload)
+                        ids = as_u32(payload)
+                        n = len(ids) // 4
+                        held.append((shard, key if has & 1 else None, start, n, ids))
+                        start, size = start + n, size + len(ids)
                         if size > 4_000_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), arrow.types, strict=True)], schema=arrow)
                             held, size = [], 0
@@ -150,7 +164,7 @@ def read_at(path: str, name: str, numbers: list[int]) -> list[tuple[int | None,
             records.seek(lo)
             payload = next(frames(io.BytesIO(records.read(hi - lo))))
             has, key = struct.unpack_from(KEY, payload)
-            out.append((key if has else None, payload[KEY_BYTES :]))
+            out.append((key if has & 1 else None, as_u32(payload)))
     return out
 
 
@@ -166,7 +180,7 @@ def digest(spark: SparkSession, documents: DataFrame, tokenizer: str, end_id: in
     from loomspark.llm.batches import map_batches
 
     path = fresh_path(spark, "records")
-    manifest = write_records(documents, lambda: encoder(tokenizer, "word").encode, path, shard_count(documents), end_id)
+    manifest = write_records(documents, lambda: encoder(tokenizer, "word").encode, path, shard_count(documents), end_id, width=2)
     read = read_records(spark, path, manifest)
 
     def start():

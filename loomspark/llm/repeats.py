@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.batches import groups, map_batches, schema_of, texts_of
+from loomspark.llm.batches import groups, map_batches, schema_of, small_batches, texts_of
 from loomspark.sources.workspace import written
 
 LENGTH = 400
@@ -261,7 +261,7 @@ def cut(texts: DataFrame, once: DataFrame, length: int, parts: int) -> DataFrame
         yield from packed()
 
     both = texts.where(F.col("n") >= length).join(once, "uid", "left").select("uid", "body", "once")
-    return written(both.mapInArrow(run, out), "segments")
+    return written(small_batches(both).mapInArrow(run, out), "segments")
 
 
 def _entries(body: bytes):

@@ -14,7 +14,7 @@ import re
 import struct
 
 #: Entries at which a table stops to grow.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 300_000
 #: Longer pieces are not kept.
 KEPT_CHARS = 64
 
@@ -60,9 +60,8 @@ class PieceEncoder:
                 found[s] = struct.pack(f"<{len(ids := e.ids)}I", *ids)
         return found
 
-    def _found(self, cut: list[list[str]], table: dict[str, bytes], lead: str) -> dict[str, bytes]:
-        """The pieces of these texts that the table lacks."""
-        missing = {p for c in cut for p in c if p not in table}
+    def _found(self, missing: set[str], lead: str) -> dict[str, bytes]:
+        """The ids of pieces that a table lacks."""
         parts, atoms, kept = {}, set(), self.atoms
         for p in missing:
             if "\n" in p:
@@ -78,11 +77,24 @@ class PieceEncoder:
         return {p: b"".join([made[a] if a in made else kept[a] for a in x]) for p, x in parts.items()}
 
     def _joined(self, cut: list[list[str]], table: dict[str, bytes], lead: str) -> list[bytes]:
-        found = self._found(cut, table, lead)
+        got, gaps, missing = [], [], set()
+        for c in cut:
+            ids = list(map(table.get, c))
+            at, places = -1, []
+            with contextlib.suppress(ValueError):
+                while True:
+                    at = ids.index(None, at + 1)
+                    places.append(at)
+                    missing.add(c[at])
+            got.append(ids)
+            gaps.append(places)
+        found = self._found(missing, lead)
+        for c, ids, places in zip(cut, got, gaps, strict=True):
+            for at in places:
+                ids[at] = found[c[at]]
         if len(table) < TABLE_ENTRIES:
             table.update((p, b) for p, b in found.items() if len(p) <= KEPT_CHARS)
-        both = table.get
-        return [b"".join([found[p] if (b := both(p)) is None else b for p in c]) for c in cut]
+        return [b"".join(ids) for ids in got]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         gc.disable()  # nothing here makes cycles, and the collector would walk all pieces again and again
