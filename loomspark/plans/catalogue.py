@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.functions import digests, text
-from loomspark.operators import graph, quotes, relations, retrieval, sets, spans, versions, worklist
+from loomspark.functions import digests, figures, text
+from loomspark.operators import graph, quotes, realms, relations, retrieval, review, segments, sets, spans, versions, worklist
+from loomspark.sources import store
 from loomspark.sources.tables import table
 from loomspark.streaming.latest import stream_latest
 
@@ -564,3 +565,182 @@ def cross_source_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "documents").select(digests.sha256_text(F.col("text")).alias("data_id"), "source")
     stores = named.groupBy("data_id").agg(F.array_sort(F.collect_set("source")).alias("s")).where("size(s) > 1")
     return stores.select("data_id", F.size("s").cast("long").alias("stores"), F.array_join("s", ",").alias("store_ids"))
+
+
+# -- storage
+
+
+@query("SELECT doc_id AS request_id, sha256(text) AS data_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY text) AND text NOT IN (SELECT text FROM benchmark) THEN 'committed' ELSE 'duplicate' END AS state FROM documents")
+def import_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), digests.sha256_text(F.col("text")).alias("data_id"))
+    return store.import_states(requests, table(spark, sf_dir, "benchmark").select(digests.sha256_text(F.col("text")).alias("data_id")))
+
+
+@query("SELECT user_id, event_id, CASE WHEN n = 1 THEN 'new' WHEN event_type = f THEN 'replay' ELSE 'idempotency_conflict' END AS state FROM (SELECT user_id, event_id, event_type, row_number() OVER w AS n, first_value(event_type) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) x")
+def idempotent_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), F.col("event_type").alias("fingerprint"), F.col("event_id").alias("order"))
+    return store.replays(sent).select(F.col("request_id").alias("user_id"), F.col("order").alias("event_id"), "state")
+
+
+@query("SELECT DISTINCT sha256(text) AS data_id, strlen(text) AS bytes, true AS whole FROM documents")
+def segment_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut at line ends, equal lines stored once, put together again."""
+    docs = table(spark, sf_dir, "documents").withColumn("data_id", digests.sha256_text(F.col("text"))).dropDuplicates(["data_id"]).withColumn("n", F.length("text"))
+    lines = text.line_table(docs.select("data_id", "text"), "data_id").join(docs.select("data_id", "n"), "data_id")
+    body = F.when(F.col("char_end") < F.col("n"), F.concat("line", F.lit("\n"))).otherwise(F.col("line")).cast("binary")
+    built = store.reassembled(*store.segmented(lines.select("data_id", F.col("line_no").alias("pos"), body.alias("body"))))
+    return built.select("data_id", F.length("content").cast("long").alias("bytes"), "whole")
+
+
+# -- segmentation
+
+
+@query("""
+SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 2) OVER w, 0) AS BIGINT) AS char_start, CAST(coalesce(sum(length(text) + 2) OVER w, 0) + length(text) AS BIGINT) AS char_end
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+""")
+def page_assembly_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.assembled(table(spark, sf_dir, "conversations"), ["conv_id"], "turn").drop("text")
+
+
+@query("""
+WITH w AS (SELECT doc_id, n_chars AS n FROM documents WHERE n_chars > 0) SELECT doc_id, CAST(n AS BIGINT) AS chars, true AS tiled FROM w
+""")
+def long_text_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of at most 800 characters, and whether they tile their text."""
+    ranges = segments.split_texts(table(spark, sf_dir, "documents"), 800).withColumn("before", F.lag("char_end").over(Window.partitionBy("doc_id").orderBy("part")))
+    ok = (F.col("char_start") == F.coalesce("before", F.lit(0))) & (F.col("char_end") - F.col("char_start") <= 800)
+    return ranges.groupBy("doc_id").agg(F.max("char_end").alias("chars"), F.bool_and(ok).alias("tiled"))
+
+
+@query()
+def bounded_group_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = text.line_table(table(spark, sf_dir, "documents"))
+    return segments.bounded_chunks(lines.select("doc_id", F.col("line_no").alias("ord"), F.floor(F.col("line_no") / 20).alias("page"), F.length("line").alias("chars")), "doc_id", 2000, 2)
+
+
+@query("""
+SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<h[1-6][ >]')) AS BIGINT) AS headings FROM pages WHERE regexp_matches(html, '(?i)<h[1-6][ >]')
+""")
+def heading_sections_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.html_headings(table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("headings"))
+
+
+@query()
+def figure_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return figures.figure_mentions(table(spark, sf_dir, "documents"))
+
+
+@query()
+def pair_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("group"), F.least("l_suppkey", "l_partkey").alias("a"), F.greatest("l_suppkey", "l_partkey").alias("b")).where("a <> b").distinct()
+    return segments.pair_batches(pairs, 64, 200)
+
+
+# -- reviews
+
+
+@query("""
+WITH r AS (SELECT source AS unit_id, doc_id % 7 AS batch, CASE WHEN quality = 0 AND toxic = 1 AND doc_id % 3 = 0 THEN 'needs_review' WHEN toxic = 1 THEN 'context_only' ELSE 'not_selected' END AS disposition, lang AS reason FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT DISTINCT source AS unit_id FROM documents WHERE doc_id % 50 = 0), f AS (SELECT unit_id, reason, min(batch) AS b FROM r GROUP BY ALL), t AS (SELECT unit_id, string_agg(reason, '; ' ORDER BY b, reason) AS reasons FROM f GROUP BY unit_id)
+SELECT r.unit_id, CASE WHEN bool_or(disposition = 'needs_review') THEN 'needs_review' WHEN r.unit_id IN (SELECT unit_id FROM c) THEN 'selected' WHEN bool_or(disposition = 'context_only') THEN 'context_only' ELSE 'not_selected' END AS disposition, any_value(reasons) AS reasons
+FROM r JOIN t ON t.unit_id = r.unit_id GROUP BY r.unit_id
+""")
+def merged_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    bad = (F.col("quality") == 0) & (F.col("toxic") == 1) & (F.col("doc_id") % 3 == 0)
+    said = F.when(bad, "needs_review").when(F.col("toxic") == 1, "context_only").otherwise("not_selected")
+    reviews = table(spark, sf_dir, "labels").join(docs, "doc_id").select(F.col("source").alias("unit_id"), (F.col("doc_id") % 7).alias("batch"), said.alias("disposition"), F.col("lang").alias("reason"))
+    return review.merged_dispositions(reviews, docs.where("doc_id % 50 = 0").select(F.col("source").alias("unit_id")))
+
+
+@query("""
+SELECT doc_id AS target_id, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 5 = 4 OR (toxic = 1 AND quality = 0) THEN 'needs_human' WHEN toxic = 1 THEN 'accepted_revision' ELSE 'reused' END AS decision FROM labels
+""")
+def materiality_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("target_id"), (F.col("doc_id") % 11 != 0).alias("identity_confirmed"), (F.col("doc_id") % 13 != 0).alias("grounding_valid"), F.when(F.col("doc_id") % 5 != 4, F.col("toxic") == 1).alias("material_change"), (F.col("quality") == 1).alias("content_changed")
+    )
+    return review.materiality(rows)
+
+
+@query("""
+WITH RECURSIVE l AS (SELECT p_partkey AS key, (p_partkey * p_partkey + 1) % (SELECT count(*) FROM part) AS target FROM part), walk(key, node) AS (SELECT key, target FROM l UNION SELECT walk.key, l.target FROM walk JOIN l ON l.key = walk.node),
+cyc AS (SELECT key AS node FROM walk WHERE key = node) SELECT walk.key, min(walk.node) AS root FROM walk JOIN cyc ON cyc.node = walk.node GROUP BY walk.key
+""")
+def reuse_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    n = part.count()
+    return review.reuse_roots(part.select(F.col("p_partkey").alias("key"), ((F.col("p_partkey") * F.col("p_partkey") + 1) % n).alias("target")))
+
+
+@query("""
+WITH o AS (SELECT *, n_chars // 200 AS content FROM documents WHERE doc_id % 2 = 1), c AS (SELECT *, n_chars // 200 AS content FROM documents WHERE doc_id % 2 = 0),
+i AS (SELECT lang, n_chars, min(doc_id) AS by_identity, min(content) AS old FROM c GROUP BY ALL), a AS (SELECT lang, content, source, count(*) AS n, min(doc_id) AS by_content FROM c GROUP BY ALL)
+SELECT doc_id AS candidate, CASE WHEN by_identity IS NOT NULL THEN CASE WHEN old = o.content THEN 'reused' ELSE 'conflict' END WHEN n > 1 THEN 'needs_human' WHEN n = 1 THEN 'reused' ELSE 'accepted_new' END AS decision,
+       CASE WHEN by_identity IS NOT NULL THEN CASE WHEN old = o.content THEN by_identity END WHEN n = 1 THEN by_content END AS node
+FROM o LEFT JOIN i ON i.lang = o.lang AND i.n_chars = o.n_chars LEFT JOIN a ON a.lang = o.lang AND a.content = o.content AND a.source = o.source
+""")
+def fingerprint_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("kind"), F.col("n_chars").alias("identity"), F.floor(F.col("n_chars") / 200).alias("content"), F.col("source").alias("scope"))
+    return review.reuse_by_fingerprint(rows.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "candidate"), rows.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "node"))
+
+
+@query("""
+WITH n AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS d, count(*) AS n, bool_or(p_size >= 40) AS strange FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey)
+SELECT o_orderkey AS proposal_id, CASE WHEN o_orderstatus = 'P' THEN 'result_is_no_proposition' WHEN coalesce(d, 0) < 2 THEN 'too_few_premises' WHEN n > d THEN 'premise_repeated' ELSE 'premise_is_no_input' END AS fault
+FROM orders LEFT JOIN n ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' OR coalesce(d, 0) < 2 OR n > d OR strange
+""")
+def proposal_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proposals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("proposal_id"), F.when(F.col("o_orderstatus") == "P", "observation").otherwise("proposition").alias("kind"))
+    premises = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("proposal_id"), F.col("l_partkey").alias("node"))
+    return review.proposal_faults(proposals, premises, table(spark, sf_dir, "part").where("p_size < 40").select(F.col("p_partkey").alias("node")))
+
+
+@query("SELECT l_orderkey AS parchment, string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS parts, sha256(string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey)) AS digest FROM lineitem GROUP BY l_orderkey")
+def ordered_compositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parchment"), F.struct("l_linenumber", "l_partkey").alias("ord"), F.col("l_partkey").alias("part"))
+    return review.compositions(items)
+
+
+@query("""
+SELECT n_regionkey AS key, n_nationkey AS option, s AS criterion FROM nation, (SELECT DISTINCT c_mktsegment AS s FROM customer) x
+WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = s AND c_acctbal > 9000)
+""")
+def matrix_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations, customers = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    options = nations.select(F.col("n_regionkey").alias("key"), F.col("n_nationkey").alias("option"))
+    criteria = options.select("key").distinct().join(F.broadcast(customers.select(F.col("c_mktsegment").alias("criterion")).distinct()))
+    cells = customers.where("c_acctbal > 9000").join(options, F.col("c_nationkey") == F.col("option")).select("key", "option", F.col("c_mktsegment").alias("criterion")).distinct()
+    return review.matrix_gaps(options, criteria, cells)
+
+
+# -- realms and disclosure
+
+
+@query("""
+WITH x AS (SELECT lang, doc_id, n_chars % 3 AS m, lag(n_chars % 3) OVER (PARTITION BY lang ORDER BY doc_id) AS b FROM documents)
+SELECT lang AS realm, row_number() OVER w AS revision, doc_id AS valid_from, lead(doc_id) OVER w AS valid_to, CAST(m AS VARCHAR) AS members FROM x WHERE b IS NULL OR b <> m WINDOW w AS (PARTITION BY lang ORDER BY doc_id)
+""")
+def realm_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = table(spark, sf_dir, "documents").select(F.col("lang").alias("realm"), F.col("doc_id").alias("at"), F.array((F.col("n_chars") % 3).cast("string")).alias("members"))
+    return realms.revisions(changes).withColumn("members", F.array_join("members", ","))
+
+
+@query("SELECT DISTINCT l_orderkey AS node FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal <= 0)")
+def disclosed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_suppkey").alias("data_id"))
+    return realms.disclosed(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node")), sources, table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("data_id")))
+
+
+@query(f"WITH {DAG_SQL.strip()}, v AS (SELECT p_partkey AS node FROM part WHERE p_size < 25) SELECT src, dst FROM dag WHERE src IN (SELECT node FROM v) AND dst IN (SELECT node FROM v)")
+def visible_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return realms.visible_edges(dag(spark, sf_dir), table(spark, sf_dir, "part").where("p_size < 25").select(F.col("p_partkey").alias("node"))).select("src", "dst")
+
+
+@query("""
+SELECT conv_id AS page, turn AS snapshot, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS age, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM CASE WHEN turn > 0 THEN turn - 1 END AS broken FROM conversations
+""")
+def snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("snapshot"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("previous"), F.col("turn").alias("ord"))
+    return realms.snapshot_history(turns)
