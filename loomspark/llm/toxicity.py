@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.batches import groups, map_batches, schema_of, small_batches, texts_of
+from loomspark.sources.workspace import written
 
 SAMPLE_ROWS = 8000
 #: Terms of the lexicon at most, the most telling first; a parameter of the model.
@@ -56,56 +57,62 @@ class Lexicon:
     def __init__(self, words: dict[str, float], beginnings: dict[str, float]):
         self.words, self.beginnings = words, beginnings
         self.root: dict = {}
-        for kind, terms in (("word", words), ("start", beginnings)):
-            for term in terms:
-                node = self.root
-                for c in term:
-                    node = node.setdefault(c, {})
-                node[kind] = term
+        for term in words:
+            node = self.root
+            for c in term:
+                node = node.setdefault(c, {})
+            node["word"] = term
         self.known: dict[str, tuple | None] = {}
         self.most = max(map(distance_bound, words), default=0)
-        # one edit or two leave one of the term's parts whole: its head, its tail or (for two) its middle
-        self.heads = {t[: max(2, len(t) // 3)] for t in [*words, *beginnings]}
-        self.head_sizes = sorted({len(h) for h in self.heads})
-        self.tails = {t[-max(2, len(t) // 3) :] for t in words}
-        self.tail_sizes = sorted({len(h) for h in self.tails})
-        self.middles = [t[max(2, len(t) // 3) : -max(2, len(t) // 3)] for t in words if distance_bound(t) == 2]
+        self.start_sizes = sorted({len(t) for t in beginnings}, reverse=True)
+        # b edits leave one of b + 1 parts of a term whole: (place, part) -> lengths that a word with it may have
+        self.parts: dict[tuple[int, str], set[int]] = {}
+        for t in words:
+            if b := distance_bound(t):
+                cuts = [len(t) * i // (b + 1) for i in range(b + 2)]
+                for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    place = 0 if i == 0 else 2 if i == b else 1
+                    self.parts.setdefault((place, t[lo:hi]), set()).update(range(len(t) - b, len(t) + b + 1))
+        self.heads, self.tails = ({k[1]: v for k, v in self.parts.items() if k[0] == p} for p in (0, 2))
+        self.middles = [(k[1], v) for k, v in self.parts.items() if k[0] == 1]
+        self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(h) for h in self.tails})
+        self.lengths = set().union(*self.parts.values())
+
+    def near(self, word: str) -> bool:
+        """Whether some term's part is whole where an edited term would have it: else no walk is needed."""
+        n, none = len(word), ()
+        return n in self.lengths and (
+            any(n in self.heads.get(word[:k], none) for k in self.head_sizes) or any(n in self.tails.get(word[-k:], none) for k in self.tail_sizes) or any(n in v and m in word for m, v in self.middles)
+        )
 
     def match(self, word: str) -> tuple[str, int, bool] | None:
         """(term, distance, whether it is a beginning) of the nearest term, the whole words first."""
-        if not (any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes) or any(m in word for m in self.middles)):
-            return None
         if word in self.words:
             return word, 0, False
-        best: tuple | None = None
-        n, most = len(word), self.most
-
-        def walk(node: dict, row: list[int], depth: int) -> None:
-            nonlocal best
-            if "start" in node and n >= depth and row[depth] == 0:
-                found = (3, 0, -depth, node["start"], True)
-                best = min(best or found, found)
-            if "word" in node and 0 < row[n] <= distance_bound(node["word"]):
-                found = (row[n], row[n], 0, node["word"], False)
-                best = min(best or found, found)
-            for c, below in node.items():
-                if len(c) > 1:
-                    continue
-                new = [row[0] + 1]
-                for k in range(n):
-                    new.append(min(new[k] + 1, row[k + 1] + 1, row[k] + (word[k] != c)))
-                if min(new) <= most:
-                    walk(below, new, depth + 1)
-
-        if n <= 40:
-            walk(self.root, list(range(n + 1)), 0)
-        else:  # no term is as long: only beginnings can match
-            node, depth = self.root, 0
-            while depth < n and word[depth] in node:
-                node, depth = node[word[depth]], depth + 1
-                if "start" in node:
-                    best = (3, 0, 0, node["start"], True)
-        return (best[3], best[1], best[4]) if best else None
+        if self.near(word):
+            best: tuple | None = None
+            n, most = len(word), self.most
+
+            def walk(node: dict, row: list[int]) -> None:
+                nonlocal best
+                for c, below in node.items():
+                    if len(c) > 1:
+                        if row[n] <= distance_bound(below) and (best is None or (row[n], below) < best):
+                            best = (row[n], below)
+                        continue
+                    new = [row[0] + 1]
+                    for k in range(n):
+                        new.append(min(new[k] + 1, row[k + 1] + 1, row[k] + (word[k] != c)))
+                    if min(new) <= most:
+                        walk(below, new)
+
+            walk(self.root, list(range(n + 1)))
+            if best:
+                return best[1], best[0], False
+        for k in self.start_sizes:
+            if word[:k] in self.beginnings:
+                return word[:k], 0, True
+        return None
 
     def of(self, token: str) -> tuple[str, int, bool] | None:
         """The match of a token between white space: its words in lower case, then with digits and signs read as letters."""
@@ -162,6 +169,14 @@ def _terms(text: str) -> set[str]:
     return words | {f"{w[:k]}*" for w in words for k in PREFIXES if len(w) > k}
 
 
+def _least_shingle(text: str) -> int:
+    """The least hash of five words in a row; near copies mostly share it."""
+    from zlib import crc32
+
+    words = text.lower().split()
+    return min((crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))), default=0)
+
+
 def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexicon:
     """The lexicon from (term, toxic documents, other documents with it)."""
 
@@ -176,9 +191,15 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexico
     words = {t: (a, b) for _, t, a, b in told if t[-1] != "*"}
     starts = {t[:-1]: (a, b) for _, t, a, b in told if t[-1] == "*"}
     # a beginning has to add to each word and each longer beginning under it
-    ok = {s: v for s, v in starts.items() if all(v[0] >= 1.25 * w[0] for t, w in [*words.items(), *starts.items()] if t != s and t.startswith(s))}
-    ok = {s: v for s, v in ok.items() if not any(s != p and s.startswith(p) for p in ok)}
-    words = {t: v for t, v in words.items() if not any(t.startswith(p) for p in ok)}
+    most: dict[str, int] = {}
+    for t, (a, _) in [*words.items(), *starts.items()]:
+        for k in PREFIXES:
+            if len(t) > k:
+                most[t[:k]] = max(most.get(t[:k], 0), a)
+    ok = {s: v for s, v in starts.items() if v[0] >= 1.25 * most.get(s, 0)}
+    under = lambda t: any(len(t) > k and t[:k] in ok for k in PREFIXES)
+    words = {t: v for t, v in words.items() if not under(t)}
+    ok = {s: v for s, v in ok.items() if not under(s)}
     ranked = sorted([*((g2(*v), t, v, False) for t, v in words.items()), *((g2(*v), t, v, True) for t, v in ok.items())], reverse=True)[:TERMS]
     weight = lambda v: min(5.0, max(0.5, odds(*v)))
     return Lexicon({t: weight(v) for _, t, v, s in ranked if not s}, {t: weight(v) for _, t, v, s in ranked if s})
@@ -209,7 +230,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[Lexicon, list[float]]:
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     )
     chosen = spark.createDataFrame(chosen.collect(), "doc_id long, toxic int")  # SAMPLE_ROWS rows at most
-    sample = texts_of(documents).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    sample = written(texts_of(documents).join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "sample")
     out = schema_of("term string, toxic long, clean long")
 
     def run(batches):
@@ -221,7 +242,10 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[Lexicon, list[float]]:
         if names := [*(tox.keys() | rest.keys())]:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([tox[t] for t in names]), pa.array([rest[t] for t in names])], names=["term", "toxic", "clean"])
 
-    counted = small_batches(sample).mapInArrow(run, out).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # copies would make every word of theirs telling: of texts with the same least shingle one counts
+    kinds = map_batches(sample, lambda: lambda ys, texts: [[_least_shingle(t) for t in texts], ys, texts], "least long, toxic int, text string", text=1)
+    single = kinds.groupBy("least", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
+    counted = small_batches(single).mapInArrow(run, out).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # the sample's bound bounds the table; what can't be a term stays where it is
     rows = counted.where("term = '' or toxic >= 5 and toxic > clean / 4").collect()
     totals = next(((r["toxic"], r["clean"]) for r in rows if r["term"] == ""), (0, 0))
