@@ -52,13 +52,19 @@ def groups(documents: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), at.alias("at"), F.sha2(norm.cast("binary"), 256).alias("text_sha256"), F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_chars"))
     rows = rows.withColumn("bucket", F.bitmap_bucket_number("at")).withColumn("bit", F.bitmap_bit_position("at"))
     probed = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "bucket", "left")
-    probed = probed.select("doc_id", "text_sha256", "n_chars", F.coalesce(_bit("bitmap", "bit"), F.lit(False)).alias("maybe"))
+    probed = probed.select("doc_id", "text_sha256", "n_chars", F.coalesce(_bit("bitmap", "bit"), F.lit(False)).alias("maybe"), F.monotonically_increasing_id().alias("row"))
     digests = written(probed, "digests")
     alone = digests.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_chars")
-    many = digests.where("maybe").withColumn("row", F.monotonically_increasing_id())
+    many = digests.where("maybe")
     order = F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("row").alias("d"))
     best = many.groupBy("text_sha256").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    judged = many.join(best, "text_sha256").select(
+    # groups of at least a thousandth of these rows are at most a thousand: their rows stay where they are
+    best = written(best, "groups")
+    large = F.col("group_size") > max(100, (best.agg(F.sum("group_size")).first()[0] or 0) // 1000)
+    hot = best.where(large)
+    in_hot = many.join(F.broadcast(hot), "text_sha256")
+    in_other = many.join(F.broadcast(hot.select("text_sha256")), "text_sha256", "left_anti").join(best.where(~large), "text_sha256")
+    judged = in_hot.unionByName(in_other).select(
         "doc_id", F.col("best.c").alias("keep_id"), "group_size", (F.col("row") == F.col("best.d")).alias("kept"), "text_sha256", "n_chars"
     )
     return alone.unionByName(judged)
@@ -70,9 +76,23 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def keep(documents: DataFrame) -> DataFrame:
-    """The rows of documents that stay, with their columns. doc_id names the rows; rows that share one are judged together."""
-    gone = groups(documents).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of documents that stay, with their columns, in order.
+
+    Rows none of whose copies goes pass by their doc_id alone. Where rows share a doc_id and only some of them stay,
+    the text decides; of rows that agree in both, one stays.
+    """
+    judged = written(groups(documents).select("doc_id", "text_sha256", "n_chars", "kept"), "judged")
+    hit = judged.groupBy("doc_id").agg(F.bool_and("kept").alias("all"), F.bool_or("kept").alias("some")).where("not all")
+    gone = hit.select(F.col("doc_id").alias("_gone"))
+    stay = documents.join(gone, documents["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    mixed = written(judged.where("kept").join(hit.where("some").select("doc_id"), judged["doc_id"].eqNullSafe(hit["doc_id"]), "left_semi").distinct(), "mixed")
+    if mixed.isEmpty():
+        return stay
+    names = ["_sha", "_n"]
+    keyed = documents.withColumns({"_sha": F.sha2(normalised(F.col("text")).cast("binary"), 256), "_n": F.length(F.coalesce("text", F.lit(""))).cast("long")})
+    keys = mixed.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_s"), F.col("n_chars").alias("_m"))
+    some = keyed.join(keys, keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_s")) & (F.col("_n") == F.col("_m")), "left_semi")
+    return stay.unionByName(some.dropDuplicates(["doc_id", *names]).drop(*names))
 
 
 ORACLE = r"""

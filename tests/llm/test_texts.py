@@ -244,6 +244,9 @@ def test_exact(spark):
     assert Counter((a, b, c, e) for (a, b, c, _, e), n in got.items() for _ in range(n)) == want
     assert sum(n for (*_, kept, _), n in got.items() if kept) == len(by)
     assert exact.digest(empty(spark)).collect() == []
+    kept = exact.keep(df)
+    assert kept.columns == df.columns
+    assert Counter((x["doc_id"], x["text"]) for x in kept.collect()) == Counter(rows[min(g)[3]] for g in by.values())
     con = duckdb.connect()
     plain = df.where("doc_id is not null").dropDuplicates(["doc_id"]).cache()
     documents = plain.toPandas()  # noqa: F841
