@@ -5,7 +5,7 @@ puts each remainder, longest first, into the open window with the least room tha
 on lengths alone, so plan() runs it on the histogram of lengths: windows that have equal room are handled as runs, and a
 segment tree indexed by room finds the tightest. The plan's size follows the window, not the documents. Documents
 look up their place by their rank among those of their length; ranks are made within salts, whose sizes the histogram
-has, so no task holds all documents of a length.
+has, so no task holds all documents of a length, and the driver gets one row for each length.
 
 Windows that stay open with more than max_gap tokens of room (and whose fill isn't a power of two) are laid end to end
 and cut anew into full windows; the last of these is cut into powers of two, which take no padding.
@@ -27,7 +27,7 @@ from loomspark.llm.tokenize import rank_encoder
 from loomspark.sources.workspace import written
 
 WINDOW = 1024
-ROWS_PER_SALT = 50_000
+ROWS_PER_SALT = 5_000
 
 
 class Tightest:
@@ -138,24 +138,25 @@ def pack(tokens: DataFrame, window: int = WINDOW, max_gap: int = 0) -> DataFrame
     rows = tokens.count()
     salts = max(1, rows // ROWS_PER_SALT)
     small = tokens.select("uid", "n", F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int").alias("salt"), (F.col("n") % window).cast("int").alias("r"), F.floor(F.col("n") / window).alias("full"))
-    # salts * window numbers at most
-    seen = small.groupBy("r", "salt").agg(F.count(F.lit(1)).alias("rows"), F.sum("full").alias("full")).collect()
-    histogram, before, fulls, full_before = defaultdict(int), {}, defaultdict(int), {}
-    for x in sorted(seen, key=lambda x: (x["r"], x["salt"])):
-        before[x["r"], x["salt"]] = histogram[x["r"]]
-        histogram[x["r"]] += x["rows"]
-        full_before[x["r"], x["salt"]] = fulls["all"]
-        fulls["all"] += x["full"]
-    histogram.pop(0, None)
+    # ranks within (length, salt), then what lies before each salt of a length; the driver gets a row for each length
+    sizes = written(small.groupBy("r", "salt").agg(F.count(F.lit(1)).alias("rows"), F.sum("full").alias("full")), "sizes")
+    histogram, full_base, fulls = {}, [], 0
+    for x in sorted(sizes.groupBy("r").agg(F.sum("rows").alias("rows"), F.sum("full").alias("full")).collect()):
+        full_base.append((x["r"], fulls))
+        fulls += x["full"]
+        if x["r"]:
+            histogram[x["r"]] = x["rows"]
     moves, loose, windows, pooled = plan(histogram, window, max_gap)
     full, cuts = bounds(pooled, window)
-    offsets = spark.createDataFrame([(r, s, before[r, s], full_before[r, s]) for r, s in before], "r int, salt int, rank_base long, full_base long")
+    earlier = Window.partitionBy("r").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("r", "salt", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rank_base"), F.coalesce(F.sum("full").over(earlier), F.lit(0)).alias("salt_full"))
+    bases = F.broadcast(spark.createDataFrame(full_base, "r int, length_full long"))  # as many rows as the window has lengths
     order = Window.partitionBy("r", "salt").orderBy("uid")
     placed = (
         small.withColumn("rank", F.row_number().over(order).cast("long") - 1)
-        .withColumn("full_at", F.sum("full").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        .join(F.broadcast(offsets) if len(before) <= 1_000_000 else offsets, ["r", "salt"])
-        .select("uid", (F.col("rank") + F.col("rank_base")).alias("rank"), (F.coalesce("full_at", F.lit(0)) + F.col("full_base")).alias("full_at"))
+        .withColumn("full_at", F.coalesce(F.sum("full").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .join(before, ["r", "salt"]).join(bases, "r")
+        .select("uid", (F.col("rank") + F.col("rank_base")).alias("rank"), (F.col("full_at") + F.col("salt_full") + F.col("length_full")).alias("full_at"))
     )
     m = np.array(moves, np.int64).reshape(-1, 5)
     keys = m[:, 0] << 44 | m[:, 1]
