@@ -32,7 +32,7 @@ HEAD, HEAD_BYTES = "<QI", 12
 KEY, KEY_BYTES = "<Bq", 9
 MASK_ADD = 0xA282EAD8
 SHARDS = "shard int, path string, records long, tokens long, bytes long"
-READ = "shard int, doc_id long, start long, n_tokens long, ids binary"
+READ = "shard int, doc_id long, start long, n_tokens long, "
 
 
 def masked(data: bytes) -> int:
@@ -114,8 +114,8 @@ def write_records(documents: DataFrame, encode: Callable[[], Callable[[list[str]
     return spark.createDataFrame(made, SHARDS)
 
 
-def read_records(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """The records of the shards: shard, doc_id, start (token ids in all records before), n_tokens, ids.
+def read_records(spark: SparkSession, path: str, manifest: DataFrame, value: Callable[[bytes], object] = bytes, kind: str = "ids binary") -> DataFrame:
+    """The records of the shards: shard, doc_id, start (token ids in all records before), n_tokens, and a value of the ids as u32 bytes: by default these.
 
     The manifest has a row a shard, so its running sum is made on the driver. Each shard is read as a stream.
     """
@@ -127,7 +127,7 @@ def read_records(spark: SparkSession, path: str, manifest: DataFrame) -> DataFra
     for r in sorted(manifest.collect()):
         rows.append((r["shard"], r["path"], total))
         total += r["tokens"]
-    arrow = to_arrow_schema(schema_of(READ))
+    arrow = to_arrow_schema(schema_of(READ + kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +139,7 @@ def read_records(spark: SparkSession, path: str, manifest: DataFrame) -> DataFra
                         has, key = struct.unpack_from(KEY, payload)
                         ids = as_u32(payload)
                         n = len(ids) // 4
-                        held.append((shard, key if has & 1 else None, start, n, ids))
+                        held.append((shard, key if has & 1 else None, start, n, value(ids)))
                         start, size = start + n, size + len(ids)
                         if size > 4_000_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), arrow.types, strict=True)], schema=arrow)
@@ -148,7 +148,7 @@ def read_records(spark: SparkSession, path: str, manifest: DataFrame) -> DataFra
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), arrow.types, strict=True)], schema=arrow)
 
     listed = spark.createDataFrame(rows, "shard int, name string, start long").repartition(max(1, len(rows)), "shard")
-    return listed.mapInArrow(run, schema_of(READ))
+    return listed.mapInArrow(run, schema_of(READ + kind))
 
 
 def read_at(path: str, name: str, numbers: list[int]) -> list[tuple[int | None, bytes]]:
@@ -177,13 +177,6 @@ def shard_count(documents: DataFrame, mb: int = 16) -> int:
 
 def digest(spark: SparkSession, documents: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """The query's columns, from files written and read back."""
-    from loomspark.llm.batches import map_batches
-
     path = fresh_path(spark, "records")
     manifest = write_records(documents, lambda: encoder(tokenizer, "word").encode, path, shard_count(documents), end_id, width=2)
-    read = read_records(spark, path, manifest)
-
-    def start():
-        return lambda doc, at, n, ids: [doc, at, n, [zlib.crc32(b) for b in ids]]
-
-    return map_batches(read.select("doc_id", "start", "n_tokens", "ids"), start, "doc_id long, start long, n_tokens long, ids_crc32 long", text=3)
+    return read_records(spark, path, manifest, zlib.crc32, "ids_crc32 long").drop("shard")
