@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.batches import groups, map_batches, schema_of, texts_of
+from loomspark.llm.batches import groups, map_batches, schema_of, small_batches, texts_of
 from loomspark.sources.workspace import written
 
 PERMUTATIONS = 192
@@ -35,6 +35,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 SIMILAR = (80, 100)  # 100 * intersection >= 80 * union
 #: Members of a hub that one group of rows compares; a hub with more is dealt over several.
 MEMBERS_AT_ONCE = 256
+RARE = 4
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
 
@@ -125,12 +126,12 @@ def sets_of(documents: DataFrame, k: int) -> DataFrame:
     return written(made.withColumn("uid", F.monotonically_increasing_id()), "sets")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+def confirmed(pairs: DataFrame, core: DataFrame, k: int) -> DataFrame:
     """Of pairs (hub, uid) those whose sets are similar.
 
     Each hub's words are read once for every MEMBERS_AT_ONCE members, which follow them in the same partition.
     """
-    words = sets.select("uid", "words")
+    words = core.select("uid", "words")
     many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_AT_ONCE).cast("int").alias("parts"))
     member = pairs.join(many, "hub").join(words, "uid").select("hub", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int").alias("part"), "uid", "words")
     hub = many.join(words, many["hub"] == words["uid"]).select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("uid"), "words")
@@ -152,7 +153,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found]), pa.array([x[1] for x in found])], names=["hub", "uid"])
 
-    return both.mapInArrow(run, out)
+    return small_batches(both).mapInArrow(run, out)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -177,23 +178,52 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("uid"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("uid"), F.col("b").alias("comp")).distinct())
 
 
+def rare(core: DataFrame, uids: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(uid, own) and (hub, uid, both) over the shingles that at most RARE of these sets hold: how many of them a set has, and a pair shares."""
+
+    def start():
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def f(ids, blobs):
+            import numpy as np
+
+            got = [shingles(unpack(b).split(b" "), k) for b in blobs]
+            return [np.concatenate(got).view(np.int64).tolist(), np.repeat(np.array(ids, np.int64), [len(g) for g in got]).tolist()]
+
+        return f
+
+    rows = written(map_batches(core.join(uids, "uid", "left_semi").select("uid", "words"), start, "shingle long, uid long"), "shingles")
+    few = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= RARE)
+    held = written(rows.join(few, "shingle"), "rare")
+    sets = held.where("c > 1").groupBy("shingle").agg(F.collect_list("uid").alias("u"))  # RARE at most
+    pairs = sets.select("u", F.explode("u").alias("hub")).select("hub", F.explode("u").alias("uid")).where("hub > uid")
+    return held.groupBy("uid").agg(F.count(F.lit(1)).alias("own")), pairs.groupBy("hub", "uid").agg(F.count(F.lit(1)).alias("both"))
+
+
 def links_of(sets: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """uid, comp of the classes' first members that are linked with another class."""
-    first = sets.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    keys = written(first.select("uid", "n", F.explode("bands").alias("band")), "bands")
+    """uid, comp of the classes' first members that are linked with another class.
+
+    Before members of different components are compared in the last turn, a bound leaves out what can't be similar. Pairs
+    that share a rare shingle are found by it, with how many they share; any others share none of their rare ones.
+    """
+    again = sets.join(classes.where("rows > 1"), ["s1", "s2"]).where("uid <> rep").select("uid")
+    first = sets.where("n > 0").join(again, "uid", "left_anti")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = first.select("uid", "n", F.explode("bands").alias("band")).repartition(parts, "band")  # dealt out once for both uses
     shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("company")).where("company > 1")
-    in_shared = keys.join(shared, "band")
+    in_shared = written(keys.join(shared.hint("merge"), "band"), "shared")
     company = in_shared.groupBy("uid").agg(F.sum("company").alias("company"))
     members = written(in_shared.select("band", "uid", "n").join(company, "uid"), "members")
+    # the list of sets grows with the corpus at every size, so it is never broadcast
+    core = written(sets.select("uid", "words").join(company.select("uid").hint("merge"), "uid", "left_semi"), "core")
     fits = (F.lit(SIMILAR[1]) * F.least("hub_n", "n") >= F.lit(SIMILAR[0]) * F.greatest("hub_n", "n")) & (F.col("hub") != F.col("uid"))
 
     def hubs(rows: DataFrame) -> DataFrame:
         best = rows.groupBy("band").agg(F.max_by(F.struct("uid", "n", "comp"), F.struct("company", -F.col("uid"))).alias("h"))
         return best.select("band", F.col("h.uid").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp"))
 
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select("hub", "uid").distinct()
-
     links, comps, tested = None, None, None
     for turn in range(3):
         rows = members.withColumn("comp", F.col("uid")) if comps is None else members.join(comps, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
@@ -203,13 +233,22 @@ def links_of(sets: DataFrame, classes: DataFrame, k: int) -> DataFrame:
         if turn < 2:
             pairs = rows.join(hubs(rows), "band").where(fits & (F.col("comp") != F.col("hub_comp")))
         else:
-            other = rows.select("band", F.col("uid").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-            pairs = rows.join(other, "band").where(fits & (F.col("comp") < F.col("hub_comp")))
-        pairs = ordered(pairs)
+            own, meet = rare(core, rows.select("uid").distinct(), k)
+            every = rows.groupBy("uid").agg(F.collect_list("band").alias("bands"))  # BANDS at most
+            mine = rows.join(own, "uid", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own", "company").join(every, "uid")
+            mine = written(mine, "mine")
+            other = mine.select("band", F.col("uid").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), F.col("most").alias("hub_most"), F.col("bands").alias("hub_bands"))
+            here = F.array_min(F.array_intersect("bands", "hub_bands")) == F.col("band")  # a pair counts in one of its buckets
+            can = F.lit(SIMILAR[0] + SIMILAR[1]) * (F.least("most", "hub_most") + F.col("both")) >= F.lit(SIMILAR[0]) * (F.col("n") + F.col("hub_n"))
+            pairs = mine.withColumn("both", F.lit(0)).join(other, "band").where(fits & can & (F.col("comp") < F.col("hub_comp")) & here)
+            one = mine.select("uid", "n", "comp", "most").distinct()
+            ends = one.select(F.col("uid").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), F.col("most").alias("hub_most"))
+            pairs = pairs.select("hub", "uid").unionByName(meet.join(one, "uid").join(ends, "hub").where(fits & can & (F.col("comp") != F.col("hub_comp"))).select("hub", "uid"))
+        pairs = pairs.select("hub", "uid").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["hub", "uid"], "left_anti")
         pairs = written(pairs, "pairs")
-        found = written(confirmed(pairs, sets, k), "links")
+        found = written(confirmed(pairs, core, k), "links")
         both = pairs.unionByName(pairs.select(F.col("uid").alias("hub"), F.col("hub").alias("uid")))
         tested = both if tested is None else tested.unionByName(both)
         if turn and found.isEmpty():
@@ -236,6 +275,6 @@ def group(documents: DataFrame, k: int = 5) -> DataFrame:
 
 
 def keep(documents: DataFrame, k: int = 5) -> DataFrame:
-    """The rows of documents but those whose group has a smaller doc_id; all columns, in order."""
-    gone = group(documents, k).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    """The rows of documents but those whose group has a smaller doc_id; all columns, in order. Where rows share a doc_id, they stay if one of them does."""
+    gone = group(documents, k).groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_any")).where("not _any").select("_gone")
     return documents.join(gone, documents["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
