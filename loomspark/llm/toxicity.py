@@ -3,8 +3,9 @@
 fit() learns the lexicon and the weights from labelled rows: terms are whole words, or beginnings that many words share,
 which documents labelled toxic hold far more often than others. The trie holds them all. A word of a text is matched by
 walking its Levenshtein automaton and the trie together: a state of the automaton is the row of edit distances to the
-part of a term read so far, and a branch ends where every entry is above the bound. So misspelt terms are caught
-without listing them. Each hit is judged in a window of words: within quotation marks or after a verb of reporting it
+part of a term read so far, and a branch ends where every entry is above the bound. A word is reached where the last
+entry is within the bound, a beginning where any entry is, as then some beginning of the text's word is near it. So
+misspelt terms of both kinds are caught without listing them. Each hit is judged in a window of words: within quotation marks or after a verb of reporting it
 counts as quoted, beside a pronoun of address as directed. A logistic model over the counts of hits by kind gives
 the score; what it weighs has prior means, so that kinds that no labelled row shows keep a sensible weight.
 
@@ -43,7 +44,7 @@ OPENING = frozenset("\"“„«‘")
 CLOSING = frozenset("\"”“»’")
 REPORTING = frozenset("said says wrote quoted called calling word term sagte schrieb zitat wort dit écrit mot dijo escribió palabra".split())
 ADDRESS = frozenset("you your you're youre u ur du dich dein ihr sie tu toi ton vous te ti usted".split())
-#: bias, exact hits, misspelt hits, hits of beginnings, quoted, directed, share of words, distinct terms
+#: bias, exact hits, misspelt hits, hits of beginnings, quoted, directed, share of words and distinct terms without misspelt ones
 PRIOR = [-3.0, 1.5, 0.5, 0.3, -1.0, 0.5, 0.1, 0.5]
 
 
@@ -57,13 +58,14 @@ class Lexicon:
     def __init__(self, words: dict[str, float], beginnings: dict[str, float]):
         self.words, self.beginnings = words, beginnings
         self.root: dict = {}
-        for term in words:
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node["word"] = term
+        for end, terms in (("word", words), ("start", beginnings)):
+            for term in terms:
+                node = self.root
+                for c in term:
+                    node = node.setdefault(c, {})
+                    node["most"] = max(node.get("most", 0), distance_bound(term))
+                node[end] = term
         self.known: dict[str, tuple | None] = {}
-        self.most = max(map(distance_bound, words), default=0)
         self.start_sizes = sorted({len(t) for t in beginnings}, reverse=True)
         # b edits leave one of b + 1 parts of a term whole: (place, part) -> lengths that a word with it may have
         self.parts: dict[tuple[int, str], set[int]] = {}
@@ -77,6 +79,17 @@ class Lexicon:
         self.middles = [(k[1], v) for k, v in self.parts.items() if k[0] == 1]
         self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(h) for h in self.tails})
         self.lengths = set().union(*self.parts.values())
+        # of a beginning, parts after the first are whole within b letters of their place
+        self.start_heads: set[str] = set()
+        self.start_parts: dict[int, dict[str, set[int]]] = {}
+        for t in beginnings:
+            if b := distance_bound(t):
+                cuts = [len(t) * i // (b + 1) for i in range(b + 2)]
+                self.start_heads.add(t[: cuts[1]])
+                for lo, hi in zip(cuts[1:], cuts[2:], strict=False):
+                    self.start_parts.setdefault(hi - lo, {}).setdefault(t[lo:hi], set()).update(range(max(0, lo - b), lo + b + 1))
+        self.start_head_sizes = sorted({len(h) for h in self.start_heads})
+        self.start_reach = {k: range(max(max(v) for v in held.values()) + 1) for k, held in self.start_parts.items()}
 
     def near(self, word: str) -> bool:
         """Whether some term's part is whole where an edited term would have it: else no walk is needed."""
@@ -85,44 +98,57 @@ class Lexicon:
             any(n in self.heads.get(word[:k], none) for k in self.head_sizes) or any(n in self.tails.get(word[-k:], none) for k in self.tail_sizes) or any(n in v and m in word for m, v in self.middles)
         )
 
+    def near_start(self, word: str) -> bool:
+        """The same for beginnings."""
+        return any(word[:k] in self.start_heads for k in self.start_head_sizes) or any(i in held.get(word[i : i + k], ()) for k, held in self.start_parts.items() for i in self.start_reach[k])
+
+    def walked(self, word: str, end: str) -> tuple[int, str] | None:
+        """(distance, term) of the nearest term of the trie that ends so: as a "word", or as a "start" of which any beginning of word is near."""
+        best: tuple | None = None
+        n = len(word)
+
+        def walk(node: dict, row: list[int]) -> None:
+            nonlocal best
+            for c, below in node.items():
+                if len(c) > 1:
+                    if c == end and (d := row[n] if end == "word" else min(row)) <= distance_bound(below) and (best is None or (d, below) < best):
+                        best = (d, below)
+                    continue
+                new = [row[0] + 1]
+                for k in range(n):
+                    new.append(min(new[k] + 1, row[k + 1] + 1, row[k] + (word[k] != c)))
+                if min(new) <= below["most"]:
+                    walk(below, new)
+
+        walk(self.root, list(range(n + 1)))
+        return best
+
     def match(self, word: str) -> tuple[str, int, bool] | None:
-        """(term, distance, whether it is a beginning) of the nearest term, the whole words first."""
+        """(term, distance, whether it is a beginning) of the nearest term, the whole words first; beginnings as they are written."""
         if word in self.words:
             return word, 0, False
-        if self.near(word):
-            best: tuple | None = None
-            n, most = len(word), self.most
-
-            def walk(node: dict, row: list[int]) -> None:
-                nonlocal best
-                for c, below in node.items():
-                    if len(c) > 1:
-                        if row[n] <= distance_bound(below) and (best is None or (row[n], below) < best):
-                            best = (row[n], below)
-                        continue
-                    new = [row[0] + 1]
-                    for k in range(n):
-                        new.append(min(new[k] + 1, row[k + 1] + 1, row[k] + (word[k] != c)))
-                    if min(new) <= most:
-                        walk(below, new)
-
-            walk(self.root, list(range(n + 1)))
-            if best:
-                return best[1], best[0], False
+        if self.near(word) and (best := self.walked(word, "word")):
+            return best[1], best[0], False
         for k in self.start_sizes:
             if word[:k] in self.beginnings:
                 return word[:k], 0, True
         return None
 
+    def match_any(self, word: str) -> tuple[str, int, bool] | None:
+        """match(), then the nearest misspelt beginning."""
+        if (m := self.match(word)) is None and self.near_start(word) and (best := self.walked(word, "start")):
+            return best[1], best[0], True
+        return m
+
     def of(self, token: str) -> tuple[str, int, bool] | None:
         """The match of a token between white space: its words in lower case, then with digits and signs read as letters."""
         low = token.lower()
         for w in _WORD.findall(low):
-            if len(w) > 2 and (m := self.match(w)):
+            if len(w) > 2 and (m := self.match_any(w)):
                 return m
         core = low.strip(_EDGE)
         if core and not core.isalpha() and (plain := core.translate(_LEET).replace("-", "").replace(".", "").replace("*", "")) != core and plain.isalpha():
-            return self.match(plain)
+            return self.match_any(plain)
         return None
 
     def features(self, text: str) -> list[float]:
@@ -134,21 +160,23 @@ class Lexicon:
             known.update((t, m) for t, m in found.items() if len(t) <= 40)
         get = known.get
         hits = [(i, m) for i, t in enumerate(tokens) if (m := found[t] if t in found else get(t)) is not None]
-        exact = fuzzy = starts = quoted = directed = 0.0
+        exact = fuzzy = starts = plain = quoted = directed = 0.0
         terms = set()
         for i, (term, edits, start) in hits:
             if self._quoted(tokens, i):
                 quoted += 1
                 continue
             directed += any(t.lower().strip(_EDGE) in ADDRESS for t in tokens[max(0, i - 3) : i + 4])
+            if edits:
+                fuzzy += 1
+                continue
+            plain += 1
             terms.add(tokens[i].lower().strip(_EDGE) if start else term)
             if start:
                 starts += self.beginnings[term]
-            elif edits:
-                fuzzy += 1
             else:
                 exact += self.words[term]
-        share = min(10.0, 100 * (len(hits) - quoted) / max(1, len(tokens)))
+        share = min(10.0, 100 * plain / max(1, len(tokens)))
         return [1.0, math.log1p(exact), math.log1p(fuzzy), math.log1p(starts), math.log1p(quoted), math.log1p(directed), share, math.log1p(len(terms))]
 
     @staticmethod
@@ -197,9 +225,8 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexico
             if len(t) > k:
                 most[t[:k]] = max(most.get(t[:k], 0), a)
     ok = {s: v for s, v in starts.items() if v[0] >= 1.25 * most.get(s, 0)}
-    under = lambda t: any(len(t) > k and t[:k] in ok for k in PREFIXES)
-    words = {t: v for t, v in words.items() if not under(t)}
-    ok = {s: v for s, v in ok.items() if not under(s)}
+    # words under it stay, as their misspellings may be further from it; a longer beginning, of the same bound, finds nothing more
+    ok = {s: v for s, v in ok.items() if not any(len(s) > k and s[:k] in ok for k in PREFIXES)}
     ranked = sorted([*((g2(*v), t, v, False) for t, v in words.items()), *((g2(*v), t, v, True) for t, v in ok.items())], reverse=True)[:TERMS]
     weight = lambda v: min(5.0, max(0.5, odds(*v)))
     return Lexicon({t: weight(v) for _, t, v, s in ranked if not s}, {t: weight(v) for _, t, v, s in ranked if s})

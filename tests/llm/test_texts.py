@@ -309,3 +309,33 @@ def test_levenshtein_walk_is_exact():
         near = [t for t in lex.words if distance(w, t) <= toxicity.distance_bound(t)]
         found = lex.match(w)
         assert (found is not None) == (bool(near) or w.startswith("achlich")), (w, found)
+
+
+def test_misspelt_beginnings_and_the_words_under_them():
+    lex = toxicity.Lexicon({"worthless": 1.0}, {"achlich": 1.0, "thtib": 1.0})
+
+    def prefix_distance(term, word):
+        row = list(range(len(word) + 1))
+        for i, x in enumerate(term, 1):
+            new = [i]
+            for j, y in enumerate(word, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    r = random.Random(2)
+    for _ in range(4000):
+        w = list(r.choice(["achlichen", "achlich", "thtiblee", "thtibxyz"]))
+        for _ in range(r.randint(0, 3)):
+            k = r.randrange(len(w) + 1)
+            w[k : k + r.randint(0, 1)] = r.choices("abchiltx", k=r.randint(0, 1))
+        w = "".join(w)
+        d = min(prefix_distance(t, w) for t in lex.beginnings)
+        found = lex.match_any(w)
+        assert (found and found[1:]) == ((d, True) if d <= 1 else None), (w, found)
+    assert lex.of("aclichen") == ("achlich", 1, True) and lex.features("aclichen")[2] > 0
+    # a beginning over several words leaves them in the trie, and so their misspellings are found
+    counts = [(f"wertlos{e}", 30, 0) for e in ("eres", "enden", "igkeit")] + [("wertl*", 90, 1)]
+    made = toxicity.choose(counts, 100, 100)
+    assert set(made.words) == {"wertloseres", "wertlosenden", "wertlosigkeit"} and set(made.beginnings) == {"wertl"}
+    assert made.of("wärtlösigkeit") == ("wertlosigkeit", 2, False)
