@@ -5,9 +5,10 @@ which documents labelled toxic hold far more often than others. The trie holds t
 walking its Levenshtein automaton and the trie together: a state of the automaton is the row of edit distances to the
 part of a term read so far, and a branch ends where every entry is above the bound. A word is reached where the last
 entry is within the bound, a beginning where any entry is, as then some beginning of the text's word is near it. So
-misspelt terms of both kinds are caught without listing them. Each hit is judged in a window of words: within quotation marks or after a verb of reporting it
-counts as quoted, beside a pronoun of address as directed. A logistic model over the counts of hits by kind gives
-the score; what it weighs has prior means, so that kinds that no labelled row shows keep a sensible weight.
+misspelt terms of both kinds are caught without listing them. Each hit is judged where it stands: between two quotation
+marks that pair, or after a verb of reporting, it counts as quoted and by QUOTED_SHARE in each other count, beside a
+pronoun of address as directed. A logistic model over the counts of hits by kind gives the score; what it weighs has
+prior means, so that kinds that no labelled row shows keep a sensible weight.
 
 Fitted on at most SAMPLE_ROWS labelled rows, chosen by a hash of doc_id, so that its cost doesn't grow; every document
 is scored whole. Labels, language, source and doc_id are no inputs of a score. A null text is the empty text and has no
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -32,7 +34,8 @@ SAMPLE_ROWS = 8000
 #: Terms of the lexicon at most, the most telling first; a parameter of the model.
 TERMS = 200
 THRESHOLD = 0.7
-WINDOW = 6
+#: What a quoted hit counts for, beside being quoted.
+QUOTED_SHARE = 0.25
 TABLE_ENTRIES = 300_000
 PREFIXES = range(5, 9)
 
@@ -40,8 +43,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = " \t\n.,;:!?\"'()[]{}<>|*#&%$“”„«»‘’…-–—"
 _LEET = str.maketrans("013457@$!", "oieastasi")
 #: Signs and words by which a hit counts as quoted or as directed at someone.
-OPENING = frozenset("\"“„«‘")
-CLOSING = frozenset("\"”“»’")
+PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’"}
+#: Signs open at once at most, the last ones: those that never close don't add up.
+LEVELS = 8
+_MARK = re.compile("[\"“”„«»‘’‚]")
+_TOKEN = re.compile(r"\S+")
 REPORTING = frozenset("said says wrote quoted called calling word term sagte schrieb zitat wort dit écrit mot dijo escribió palabra".split())
 ADDRESS = frozenset("you your you're youre u ur du dich dein ihr sie tu toi ton vous te ti usted".split())
 #: bias, exact hits, misspelt hits, hits of beginnings, quoted, directed, share of words and distinct terms without misspelt ones
@@ -161,30 +167,64 @@ class Lexicon:
         get = known.get
         hits = [(i, m) for i, t in enumerate(tokens) if (m := found[t] if t in found else get(t)) is not None]
         exact = fuzzy = starts = plain = quoted = directed = 0.0
-        terms = set()
+        terms: dict[str, float] = {}
+        spans = quotations(text) if hits else []
+        places = [m.start() for m in _TOKEN.finditer(text)] if spans else []
         for i, (term, edits, start) in hits:
-            if self._quoted(tokens, i):
+            w = 1.0
+            if self._reported(tokens, i) or spans and self._enclosed(spans, tokens[i], places[i]):
                 quoted += 1
-                continue
-            directed += any(t.lower().strip(_EDGE) in ADDRESS for t in tokens[max(0, i - 3) : i + 4])
+                w = QUOTED_SHARE
+            if any(t.lower().strip(_EDGE) in ADDRESS for t in tokens[max(0, i - 3) : i + 4]):
+                directed += w
             if edits:
-                fuzzy += 1
+                fuzzy += w
                 continue
-            plain += 1
-            terms.add(tokens[i].lower().strip(_EDGE) if start else term)
+            plain += w
+            name = tokens[i].lower().strip(_EDGE) if start else term
+            terms[name] = max(terms.get(name, 0.0), w)
             if start:
-                starts += self.beginnings[term]
+                starts += w * self.beginnings[term]
             else:
-                exact += self.words[term]
+                exact += w * self.words[term]
         share = min(10.0, 100 * plain / max(1, len(tokens)))
-        return [1.0, math.log1p(exact), math.log1p(fuzzy), math.log1p(starts), math.log1p(quoted), math.log1p(directed), share, math.log1p(len(terms))]
+        return [1.0, math.log1p(exact), math.log1p(fuzzy), math.log1p(starts), math.log1p(quoted), math.log1p(directed), share, math.log1p(sum(terms.values()))]
+
+    @staticmethod
+    def _enclosed(spans: list[tuple[int, int]], token: str, place: int) -> bool:
+        lo = place + len(token) - len(token.lstrip(_EDGE))
+        k = bisect_right(spans, lo, key=lambda x: x[0]) - 1
+        return k >= 0 and lo + len(token.strip(_EDGE)) <= spans[k][1]
 
     @staticmethod
-    def _quoted(tokens: list[str], i: int) -> bool:
-        left, right = tokens[max(0, i - WINDOW) : i + 1], tokens[i : i + WINDOW + 1]
-        opened = any(t[0] in OPENING for t in left)
-        closed = any(t.rstrip(".,;:!?")[-1:] in CLOSING for t in right if t.rstrip(".,;:!?"))
-        return opened and closed or any(t.lower().strip(_EDGE) in REPORTING for t in left[-3:-1])
+    def _reported(tokens: list[str], i: int) -> bool:
+        return any(t.lower().strip(_EDGE) in REPORTING for t in tokens[max(0, i - 2) : i])
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(place of the opening sign, place of the closing one) of the outermost quotations, in order; signs that don't pair enclose nothing."""
+    open_: list[tuple[str, int]] = []
+    found: list[tuple[int, int]] = []
+    for m in _MARK.finditer(text):
+        c, i = m[0], m.start()
+        before, after = text[i - 1 : i] or " ", text[i + 1 : i + 2] or " "
+        inside = before.isalnum() and after.isalnum()
+        starts = not before.isalnum() and not after.isspace()  # may open
+        ends = not before.isspace()  # may close
+        k = next((k for k in range(len(open_) - 1, -1, -1) if c == open_[k][0] == '"' or c in PAIRS.get(open_[k][0], "")), None)
+        if k is not None and not (c == "’" and inside) and (ends or not starts or c not in "\"«»"):
+            while found and found[-1][0] > open_[k][1]:
+                found.pop()
+            found.append((open_[k][1], i))
+            del open_[k:]
+        elif c == '"':
+            if starts or before.isspace() and after.isspace():
+                open_ = [x for x in open_ if x[0] != c]  # an earlier one never closed
+                open_.append((c, i))
+        elif c in PAIRS and (c != "»" or starts and before.isspace()):
+            open_.append((c, i))
+        del open_[:-LEVELS]
+    return found
 
 
 def remainder(doc_id: Column) -> Column:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -339,3 +340,14 @@ def test_misspelt_beginnings_and_the_words_under_them():
     made = toxicity.choose(counts, 100, 100)
     assert set(made.words) == {"wertloseres", "wertlosenden", "wertlosigkeit"} and set(made.beginnings) == {"wertl"}
     assert made.of("wärtlösigkeit") == ("wertlosigkeit", 2, False)
+
+
+def test_quotations_pair_and_quoted_hits_weigh():
+    lex = toxicity.Lexicon({"idiot": 2.0}, {})
+    quoted = lambda t: lex.features(t)[4] > 0
+    for t in ('he says "fine" you idiot so "bye"', '"Go away," he told the idiot. "Now."', 'you idiot, the dogs’ bowl', '5" or 6" idiot 7"', '“fine” you idiot “bye”', '« oui » idiot « non »', 'don’t ‘go’ idiot, it’s', '"never closed you idiot', 'an „a“ idiot „b“'):
+        assert not quoted(t) and lex.features(t)[1] == math.log1p(2), t
+    for t in ('he wrote "idiot" once', 'a "long one, with many words before the idiot and with many words after it" b', '“a ‘b’ idiot”', '„du idiot“', '« un idiot »', '»ein idiot« x', '‘you don’t say, idiot’', '"a" b "an idiot"', 'a "x" 5" "idiot" y'):
+        assert quoted(t) and 0 < lex.features(t)[1] < math.log1p(2), t
+    one, more = (lex.features('x "' + "idiot " * n + '" y') for n in (1, 9))
+    assert more[1] > one[1] and more[6] > 0
