@@ -439,6 +439,29 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.top_per_group(best.drop("rank"), ["query_id"], [F.col("score").desc(), F.col("vec_id")], 3).withColumn("score", F.round("score", 6))
 
 
+@query(f"""
+WITH {UNIT_SQL}, p AS (SELECT a.vec_id AS node, b.vec_id AS other, round(list_inner_product(a.v, b.v), 12) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY s DESC, other DESC) AS rank FROM p WHERE s >= 0.75)
+SELECT least(node, other) AS src, greatest(node, other) AS dst, round(max(s), 8) AS score FROM r WHERE rank <= 3 GROUP BY ALL
+""")
+def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of which one is among the other's three nearest at a cosine of 0.75 or more, over all vectors."""
+    return retrieval.neighbour_graph(table(spark, sf_dir, "embeddings"), 3, 0.75).withColumn("score", F.round("score", 8))
+
+
+@query(f"""
+WITH {UNIT_SQL}, s AS (SELECT a.label, a.vec_id, round(list_inner_product(a.v, q.v), 12) AS s FROM u a, (SELECT v FROM u WHERE vec_id = 7) q),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rank FROM s) SELECT label, vec_id, round(s, 6) AS score FROM r WHERE rank = 1 ORDER BY s DESC, vec_id LIMIT 8
+""")
+def rank_distinct_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels stand for documents and vectors for their chunks."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = retrieval.normalised(vectors.where("vec_id = 7"), "vec_id", "embedding").select(F.col("v").alias("q"))
+    scored = retrieval.normalised(vectors, "vec_id", "embedding").join(vectors.select("vec_id", "label"), "vec_id").join(F.broadcast(asked))
+    scored = scored.select("label", "vec_id", F.round(retrieval.dot(F.col("v"), F.col("q")), 12).alias("score"))
+    return retrieval.rank_distinct_cut(scored, "label", "vec_id", 8).withColumn("score", F.round("score", 6))
+
+
 @query("""
 WITH e AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), m AS (SELECT label, pos, avg(x) AS m FROM e GROUP BY ALL),
 n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY label) SELECT m.label, CAST(pos AS INT) AS pos, round(m / n, 6) AS value FROM m JOIN n ON n.label = m.label

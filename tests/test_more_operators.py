@@ -3,7 +3,7 @@
 import random
 
 from loomspark.functions import figures
-from loomspark.operators import realms, review, segments
+from loomspark.operators import realms, retrieval, review, segments
 from loomspark.sources import code, store
 from loomspark.sources.workspace import fresh_path
 
@@ -157,3 +157,23 @@ def test_code(spark):
     [(_, whole)] = got(code.dossier_text(placed, ["repo"]))
     assert [whole[r["char_start"] : r["char_end"]] for r in sorted(placed.collect(), key=lambda r: r["path"])] == ["é\n", "x = 1\n"]
     assert [r[2] for r in got(code.code_units(files))] == ["<preamble>", "<preamble>"]
+
+
+def test_neighbour_graph(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(i, [r.gauss(0, 1) for _ in range(3)]) for i in range(120)] + [(200 + i, [1.0, 2.0, 3.0]) for i in range(9)] + [(300, [0.0, 0.0, 0.0]), (301, None)]
+    unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for i, v in rows if v and any(v)}
+    want = set()
+    for a, v in unit.items():
+        near = sorted(((round(sum(x * y for x, y in zip(v, u, strict=True)), 12), b) for b, u in unit.items() if b != a), reverse=True)
+        want |= {(min(a, b), max(a, b), round(s, 8)) for s, b in near[:3] if s >= 0.75}
+    for size in (7, 2000):  # many blocks, and one
+        monkeypatch.setattr(retrieval, "BLOCK_ROWS", size)
+        found = retrieval.neighbour_graph(made(spark, rows, "vec_id long, embedding array<double>"), 3, 0.75)
+        assert sorted((x["src"], x["dst"], round(x["score"], 8)) for x in found.collect()) == sorted(want)
+
+
+def test_rank_distinct_cut(spark):
+    rows = [("a", 1, 0.5), ("a", 2, 0.9), ("b", 3, 0.9), ("b", 4, 0.1), ("c", 5, 0.2), ("d", 6, 0.9)]
+    out = retrieval.rank_distinct_cut(made(spark, rows, "doc string, chunk long, score double"), "doc", "chunk", 3)
+    assert [tuple(x) for x in out.collect()] == [("a", 2, 0.9), ("b", 3, 0.9), ("d", 6, 0.9)]
