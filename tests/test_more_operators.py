@@ -177,3 +177,11 @@ def test_rank_distinct_cut(spark):
     rows = [("a", 1, 0.5), ("a", 2, 0.9), ("b", 3, 0.9), ("b", 4, 0.1), ("c", 5, 0.2), ("d", 6, 0.9)]
     out = retrieval.rank_distinct_cut(made(spark, rows, "doc string, chunk long, score double"), "doc", "chunk", 3)
     assert [tuple(x) for x in out.collect()] == [("a", 2, 0.9), ("b", 3, 0.9), ("d", 6, 0.9)]
+
+
+def test_manifest_diff_of_all_documents(spark, tmp_path):
+    from loomspark.plans import catalogue
+
+    made(spark, [(i, "de", 5 + i) for i in range(1, 72)], "doc_id long, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {f"de/{i}": "added" if i % 10 == 0 else "removed" if i % 14 == 0 else "changed" if i % 6 == 0 else "unchanged" for i in range(1, 72) if i % 70}
+    assert dict(map(tuple, catalogue.manifest_diff_all(spark, str(tmp_path)).collect())) == want
