@@ -7,15 +7,17 @@ end of the next, so phrases overlap by a trigger and none is a prefix of another
 corpus. A string that repeats repeats with all phrases in it, so what holds a phrase that occurs once is out; what is
 left of a text are runs between such phrases. Where text is unique, this is nearly all of the work.
 
-Order. Suffixes need comparing on their first `length` bytes only. Their starts in the runs are dealt to parts by the
-least gram hash within those bytes, so equal strings meet; consecutive starts with the same least hash travel as one
-segment. Equal segments are one entry of a part's dictionary. A part sorts the starts of its distinct segments by
-two 64-bit polynomial hashes of the following `length` bytes: equal neighbours in this order are the suffixes whose
-common prefix is `length` bytes at least. (The hashes stand for the ranks of dictionary and parse suffixes: the
-alphabetical order of strings that differ is not needed here.) Starts of a segment that occurs twice repeat anyway.
+Order. The runs' starts are dealt to parts by the least gram hash within the `length` bytes from a start, so equal
+strings meet; consecutive starts with the same least hash travel as one segment of at most SPLIT starts. Equal segments
+are one entry of a part. A part parses its distinct segments once more: ranks of all suffixes of its dictionary come
+from prefix doubling over the phrases' bytes, ranks of the suffixes of its parse from prefix doubling over the phrases'
+ranks, with their common prefixes. A start is then ordered by the rank of the phrase suffix it begins and, within equal
+ones, by the rank of the parse suffix that follows: corpus order. A start repeats if its common prefix with a neighbour
+in this order is `length` bytes at least. All of it compares bytes, not hashes. Starts of a segment that occurs twice
+(equal by a 128-bit BLAKE2 digest, compared byte by byte where two of them meet in a part) repeat anyway.
 
 Parts are sized by their bytes. A gram hash with more than HOT_BYTES of distinct segments is not gathered: its starts
-are counted as rows instead.
+are counted as rows by a 128-bit digest of their bytes.
 
 A null text is the empty text. Texts shorter than `length` bytes keep all. Repeated rows are texts of their own. An empty
 table gives no rows. Columns besides doc_id and text are left aside.
@@ -23,9 +25,9 @@ table gives no rows. Columns besides doc_id and text are left aside.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections import defaultdict
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,9 +39,9 @@ from loomspark.sources.workspace import written
 LENGTH = 400
 GRAM = 16
 TRIGGER = 64  # a trigger about every so many bytes
-PART_BYTES = 12_000_000
-HOT_BYTES = 24_000_000
-HASHED_AT_ONCE = 1_000_000
+SPLIT = 4096  # starts in a segment: long stretches of one gram are cut, and equal cuts are one entry
+PART_BYTES = 2_000_000
+HOT_BYTES = 4_000_000
 _ENTRY = "<QQQI"  # gram hash, name of the segment, its bytes
 _ENTRY_BYTES = 28
 
@@ -103,58 +105,154 @@ def segments(raw: bytes, once: list[tuple[int, int]], length: int) -> list[tuple
             h = gram_hashes(raw)
         least = sliding_least(h[lo : hi + length - GRAM + 1], length - GRAM + 1)
         cuts = [0, *(np.flatnonzero(least[1:] != least[:-1]) + 1).tolist(), len(least)]
-        out += [(lo + x, y - x, int(least[x])) for x, y in zip(cuts, cuts[1:], strict=False)]
+        out += [(lo + k, min(SPLIT, y - k), int(least[x])) for x, y in zip(cuts, cuts[1:], strict=False) for k in range(x, y, SPLIT)]
     return out
 
 
-@lru_cache(2)
-def _powers(n: int):
-    """For each of two hashes: values of bytes, powers of its base and of the base's inverse, mod 2^64."""
+def dense(keys):
+    """The rank of each key among the distinct keys, from 1."""
     import numpy as np
 
-    g, out = np.random.Generator(np.random.PCG64(11)), []
-    for _ in range(2):
-        values = g.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        base = int(g.integers(0, 1 << 60, dtype=np.uint64)) * 8 + 5
-        both = []
-        for x in (base, pow(base, -1, 1 << 64)):
-            powers = np.full(n, np.uint64(x))
-            powers[0] = 1
-            both.append(np.multiply.accumulate(powers))
-        out.append((values, *both))
+    order = np.argsort(keys)
+    ahead = keys[order]
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(np.r_[True, ahead[1:] != ahead[:-1]][: len(keys)])
     return out
 
 
-def window_hashes(raw: bytes, length: int):
-    """Two 64-bit hashes of the `length` bytes from each position on: sums of byte values times powers, mod 2^64."""
-    import numpy as np
+def suffix_ranks(codes, left, length: int, packed: int = 1):
+    """Suffix array by prefix doubling: [(width, ranks by the first `width` codes)], and the ranks by the first `length` codes.
 
-    a, out = np.frombuffer(raw, np.uint8), []
-    for values, powers, back in _powers(1 << max(20, (len(a) - 1).bit_length())):
-        sums = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(values[a] * powers[: len(a)], out=sums[1:])
-        h = sums[length:] - sums[:-length]
-        out.append(h * back[: len(h)])
-    return out
+    codes: numbers from 1; left: codes from each position to the end of its string, beyond which nothing follows (rank 0).
+    packed: how many codes, of 9 bits then, the second level takes at once.
+    """
+    import numpy as np
 
+    n, width, levels = len(codes), 1, [(1, codes)]
+    if packed > 1:
+        keys = codes.astype(np.int64)
+        for k in range(1, packed):
+            keys <<= 9
+            keys[: max(0, n - k)] |= np.where(left[: max(0, n - k)] > k, codes[k:], 0)
+        width = packed
+        levels.append((width, dense(keys)))
+    ranks = levels[-1][1].astype(np.int64)
+    sizes = np.bincount(ranks)
+    ranks = (np.cumsum(sizes) - sizes + 1)[ranks]  # from now on a rank is one more than the suffixes below it: finer ranks fit in between
+    while width < length:
+        step = min(width, length - width)
+        # only suffixes that go on and have an equal change, with those they equal
+        open_ = np.zeros(n + 2, bool)
+        open_[ranks[left > width]] = True
+        at = np.flatnonzero(open_[ranks] & (np.bincount(ranks, minlength=n + 2) > 1)[ranks])
+        if not len(at):
+            break
+        then = np.where(left[at] > step, ranks[np.minimum(at + step, n - 1)], 0)
+        order = np.argsort(ranks[at] << 32 | then)
+        at, then = at[order], then[order]
+        group, place = ranks[at], np.arange(len(at))
+        new = np.r_[True, (group[1:] != group[:-1])]
+        finer = new | np.r_[True, then[1:] != then[:-1]]
+        ranks = ranks.copy()
+        ranks[at] = group + np.maximum.accumulate(np.where(finer, place, 0)) - np.maximum.accumulate(np.where(new, place, 0))
+        width += step
+        levels.append((width, ranks.astype(np.int32)))
+    return levels, ranks
+
+
+def common(levels, a, b, left):
+    """How many codes the suffixes at a and b share, up to the last level's width at least."""
+    import numpy as np
 
-def start_hashes(pieces: list[bytes], length: int):
-    """window_hashes() of the pieces one after another, none of which reaches into the next."""
+    total, above = np.zeros(len(a), np.int64), 0
+    inside = np.minimum(left[a], left[b])
+    for width, ranks in reversed(levels):
+        for _ in range(max(1, -(-above // width) - 1)):
+            at = np.flatnonzero(total + width <= inside)
+            at = at[ranks[a[at] + total[at]] == ranks[b[at] + total[at]]]
+            total[at] += width
+        above = width
+    return total
+
+
+class Order:
+    """Corpus order of the starts of some strings, from the suffix arrays of their dictionary and parse."""
+
+    def __init__(self, strings: list[bytes], length: int):
+        import numpy as np
+
+        raw = b"".join(strings)
+        lens = np.array([len(p) for p in strings], np.int64)
+        ends = np.cumsum(lens)
+        # parse: a phrase begins where a string does or where a trigger lies within it
+        trigger = np.flatnonzero(gram_hashes(raw) % np.uint64(TRIGGER) == 0)
+        trigger = trigger[trigger + GRAM <= ends[np.searchsorted(ends, trigger, "right")]] if len(trigger) else trigger
+        self.cut = cut = np.union1d(ends - lens, trigger).astype(np.int64)
+        string = np.searchsorted(ends, cut, "right")
+        last = np.r_[string[1:] != string[:-1], True]
+        end = np.where(last, ends[string], np.r_[cut[1:], 0] + GRAM)
+        # dictionary: distinct phrases one after another
+        known: dict[bytes, int] = {}
+        phrase = np.array([known.setdefault(raw[x:y], len(known)) for x, y in zip(cut.tolist(), end.tolist(), strict=True)], np.int64)
+        sizes = np.array([len(p) for p in known], np.int64)
+        first = np.cumsum(sizes) - sizes
+        left = np.repeat(first + sizes, sizes) - np.arange(int(sizes.sum()))
+        codes = np.frombuffer(b"".join(known), np.uint8).astype(np.int16) + 1
+        words, alpha = suffix_ranks(codes, left, length, 7)
+        # parse: each phrase has at least one byte of its own, so `length` phrases are enough
+        left_in_parse = np.searchsorted(string, string, "right") - np.arange(len(cut))
+        # by `length` bytes behind the first trigger, too: phrases of one rank that differ have that many bytes of their own
+        further = np.where(sizes > GRAM, alpha[np.minimum(first + GRAM, len(alpha) - 1)], 0)
+        symbols = dense(alpha[first] << 32 | further) if len(first) else further
+        parse, rank = suffix_ranks(symbols[phrase], left_in_parse, length)
+        array = np.argsort(rank, kind="stable")
+        x, y = array[:-1], array[1:]
+        shared = common(parse, x, y, left_in_parse)
+        far_x, far_y = x + shared, y + shared
+        over = (shared >= left_in_parse[x]) | (shared >= left_in_parse[y])
+        at_x, at_y = np.minimum(far_x, len(cut) - 1), np.minimum(far_y, len(cut) - 1)
+        tail = common(words, first[phrase[at_x]], first[phrase[at_y]], left)
+        prefix = np.where(over, np.minimum(ends[string[x]] - cut[x], ends[string[y]] - cut[y]), cut[at_x] - cut[x] + tail)
+        prefix[rank[x] == rank[y]] = length
+        # starts: the phrase suffix that begins there, then the parse suffix behind it
+        self.starts = starts = np.concatenate([np.arange(e - n, e - length + 1) for e, n in zip(ends.tolist(), lens.tolist(), strict=True)] or [np.zeros(0, np.int64)])
+        j = np.searchsorted(cut, starts, "right") - 1
+        place = first[phrase[j]] + starts - cut[j]
+        alphas = alpha[place]
+        behind = np.where(last[j], 0, np.searchsorted(rank[array], np.r_[rank[1:], 0][j]) + 1)  # place of the first of equal ranks
+        order = np.argsort(alphas << 32 | behind)
+        self.order, self.length = order, length
+        size, behind, alphas = left[place][order], behind[order], alphas[order]
+        lo, hi = behind[:-1], behind[1:]
+        least = _least_between(prefix, lo, hi)
+        self.shared = np.where(alphas[:-1] != alphas[1:], 0, np.where((size[:-1] >= length) | (lo == hi), length, size[:-1] - GRAM + least))
+
+    def repeated(self):
+        """For each start, in text order, whether its string also starts elsewhere."""
+        import numpy as np
+
+        same, hit = self.shared >= self.length, np.zeros(len(self.order), bool)
+        hit[self.order[:-1][same]] = True
+        hit[self.order[1:][same]] = True
+        return hit
+
+
+def _least_between(values, lo, hi):
+    """Least of values[lo - 1 : hi - 1] for places lo < hi from 1 (0 where a place is 0 or lo = hi), by a table of runs of powers of two."""
     import numpy as np
 
-    out, lo = [], 0
-    while lo < len(pieces):
-        hi, size = lo, 0
-        while hi < len(pieces) and (hi == lo or size + len(pieces[hi]) <= HASHED_AT_ONCE):
-            size += len(pieces[hi])
-            hi += 1
-        lens = np.array([len(p) for p in pieces[lo:hi]])
-        starts = lens - length + 1
-        place = np.arange(starts.sum()) + np.repeat(np.cumsum(lens) - lens - (np.cumsum(starts) - starts), starts)
-        h1, h2 = window_hashes(b"".join(pieces[lo:hi]), length)
-        out.append((h1[place], h2[place]))
-        lo = hi
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+    out = np.zeros(len(lo), np.int64)
+    ask = np.flatnonzero((lo > 0) & (lo < hi))
+    a, b = lo[ask] - 1, hi[ask] - 1
+    power = np.frexp((b - a).astype(np.float64))[1] - 1  # the greatest power of two within b - a
+    table, k = values, 0
+    while len(ask) and k <= int(power.max()):
+        now = power == k
+        out[ask[now]] = np.minimum(table[a[now]], table[b[now] - (1 << k)])
+        if len(table) > 1 << k:
+            table = np.minimum(table[: -(1 << k)], table[1 << k :])
+        k += 1
+    return out
 
 
 def repeated_starts(parts: dict, length: int) -> dict:
@@ -163,15 +261,7 @@ def repeated_starts(parts: dict, length: int) -> dict:
 
     names = list(parts)
     first = np.cumsum([0, *(len(p) - length + 1 for p in parts.values())])
-    h1, h2 = start_hashes(list(parts.values()), length)
-    order = np.argsort(h1, kind="stable")
-    a, b = h1[order], h2[order]
-    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    again = np.zeros(len(order), bool)
-    again[1:] |= same
-    again[:-1] |= same
-    hit = np.zeros(len(order), bool)
-    hit[order[again]] = True
+    hit = Order(list(parts.values()), length).repeated()
     out = {}
     for k in np.unique(np.searchsorted(first, np.flatnonzero(hit), "right") - 1).tolist():
         x = np.r_[False, hit[first[k] : first[k + 1]], False]
@@ -228,7 +318,6 @@ def cut(texts: DataFrame, once: DataFrame, length: int, parts: int) -> DataFrame
     out = schema_of("uid long, start long, count long, g1 long, g2 long, part int, body binary")
 
     def run(batches):
-        import xxhash
         import zstandard
 
         unpack, seen, held, size = zstandard.ZstdDecompressor().decompress, set(), defaultdict(list), 0
@@ -246,7 +335,7 @@ def cut(texts: DataFrame, once: DataFrame, length: int, parts: int) -> DataFrame
                 raw = unpack(body)
                 for lo, m, least in segments(raw, [(s >> 31, s & 0x7FFFFFFF) for s in bad or ()], length):
                     piece = raw[lo : lo + m + length - 1]
-                    name = xxhash.xxh3_128_intdigest(piece)
+                    name = int.from_bytes(hashlib.blake2b(piece, digest_size=16).digest(), "big")
                     g1, g2 = name >> 64, name & (1 << 64) - 1
                     rows.append((uid, lo, m, _signed(g1), _signed(g2)))
                     if name not in seen:
@@ -279,6 +368,7 @@ def repeats_in_parts(bodies: DataFrame, length: int, parts: int) -> tuple[DataFr
     dealt = bodies.repartition(parts, "part").sortWithinPartitions("part")
 
     def run(batches):
+        import numpy as np
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
@@ -286,8 +376,8 @@ def repeats_in_parts(bodies: DataFrame, length: int, parts: int) -> tuple[DataFr
 
         def rows(segs):
             for name, piece in segs.items():
-                h1, h2 = window_hashes(piece, length)
-                n = len(h1)
+                n = len(piece) - length + 1
+                h1, h2 = np.frombuffer(b"".join(hashlib.blake2b(piece[i : i + length], digest_size=16).digest() for i in range(n)), "<u8").reshape(n, 2).T.copy()
                 yield pa.RecordBatch.from_arrays([pa.array([_signed(name[0])] * n), pa.array([_signed(name[1])] * n), pa.nulls(n, pa.list_(pa.int32())), pa.array(h1.view("i8")), pa.array(h2.view("i8")), pa.array(range(n), pa.int32())], names=out.names)
 
         def done():
@@ -324,6 +414,8 @@ def repeats_in_parts(bodies: DataFrame, length: int, parts: int) -> tuple[DataFr
                         if sizes[least] > HOT_BYTES:
                             hot.add(least)
                             yield from rows(entries.pop(least))
+                    elif entries[least][name] != piece:
+                        raise ValueError("two segments have one digest")
         if now is not None:
             yield from done()
 

@@ -41,6 +41,30 @@ def test_repeats(spark):
     assert repeats.digest(empty(spark)).collect() == []
 
 
+def test_corpus_order(monkeypatch):
+    """The order from the suffix arrays of dictionary and parse finds what counting all strings finds."""
+    r = random.Random(1)
+    for trial in range(150):
+        n = r.choice([17, 20, 30, 50, 100, 400])
+        base = [bytes(r.choices(b"ab" if trial % 3 == 0 else b"abcdefgh \x00\xff", k=r.randint(1, 600))) for _ in range(4)]
+        parts = {}
+        for q in range(r.randint(1, 12)):
+            t = (b"z" * r.randint(1, 900) if trial % 5 == 0 else b"") + b"".join(r.choice(base)[r.randint(0, 50) :] for _ in range(r.randint(1, 5)))
+            if len(t) >= n and t not in parts.values():
+                parts[q] = t
+        seen = Counter(b[i : i + n] for b in parts.values() for i in range(len(b) - n + 1))
+        want = {}
+        for q, b in parts.items():
+            x = [False, *(seen[b[i : i + n]] > 1 for i in range(len(b) - n + 1)), False]
+            if any(x):
+                want[q] = [i for i in range(len(x) - 1) if x[i] != x[i + 1]]
+        monkeypatch.setattr(repeats, "TRIGGER", r.choice([1, 2, 8, 64]))
+        assert not parts or repeats.repeated_starts(parts, n) == want, trial
+    order = repeats.Order([b"banana", b"bandana"], 2)
+    text = b"bananabandana"
+    assert [text[order.starts[k] : order.starts[k] + 2] for k in order.order.tolist()] == sorted(text[i : i + 2] for i in [*range(5), *range(6, 12)])
+
+
 def test_repeats_of_hot_parts(spark, monkeypatch):
     """A gram hash with many distinct segments is counted by rows, with the same result."""
     r = random.Random(4)
