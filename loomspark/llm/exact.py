@@ -3,26 +3,32 @@
 Texts are equal when they are identical without the characters U+0020 and U+0009 to U+000D. Of equal texts the one
 with the most code points stays, then the smallest doc_id (a null doc_id comes after all others; rows that agree in
 both are told apart by a row number). A null text is the empty text. An empty table gives no rows. Columns besides
-doc_id and text are left aside by groups(); keep() returns the rows of the input with all their columns.
+doc_id and text are left aside by groups(); keep() returns the rows of the input with all their columns, whatever their names.
 
-First pass: every text's 64-bit hash sets one of BITS_PER_ROW * rows positions; positions are counted with a partial
-count in each task, and those set at least twice make the filter, kept as 4 KB bitmaps of 32768 positions. Second pass:
-a row whose position isn't in the filter has no equal and passes straight through; the others are grouped by the
-SHA-256 of their text, of which only the digest, the length and the id are shuffled. The filter is broadcast up to
-BROADCAST_BYTES and else joined by bitmap number.
+Each text is read once, for its digest, its length and a 64-bit hash, in a written table of slim rows. First pass: hashes,
+8 bytes a row and none of its other columns, are counted with a partial count in each task; those that occur again make a
+Bloom filter of BITS bits and PROBES positions for each of them, which lie in one word, in blocks of 512 bytes. Its size
+follows the repeated hashes alone. Second pass: a row that isn't in the broadcast filter has no equal and passes straight
+through where it is; only the others shuffle, and are grouped by their SHA-256.
+
+A filter above SLICE_BYTES is made in slices by hash: the slim rows are written by slice, and each slice probes its own
+part of the filter, so no size makes the other rows shuffle.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.sources.workspace import written
+from loomspark.llm.batches import carried, spread_join
+from loomspark.sources.workspace import forget, written
 
-BITS_PER_ROW = 64
-BROADCAST_BYTES = 64_000_000
+BITS = 16
+PROBES = 4
+WORDS = 64
+SLICE_BYTES = 64_000_000
 BLANKS = " \t\n\v\f\r"
 
 
@@ -30,41 +36,67 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def repeated_filter(positions: DataFrame) -> DataFrame:
-    """bucket, bitmap of the positions (column at) that occur at least twice."""
-    twice = positions.groupBy("at").count().where("count > 1")
-    return twice.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+def places(h: Column, blocks: int) -> list[Column]:
+    """block, word and mask: where a hash has its bits in a filter of so many blocks."""
+    g = F.xxhash64(h, F.lit(1))
+    bits = [F.expr("1L") for _ in range(PROBES)]
+    bits = [F.call_function("shiftleft", b, F.shiftrightunsigned(g, 6 * (k + 1)).bitwiseAND(F.lit(63)).cast("int")) for k, b in enumerate(bits)]
+    mask = bits[0]
+    for b in bits[1:]:
+        mask = mask.bitwiseOR(b)
+    return [F.pmod(h, F.lit(blocks)).alias("block"), g.bitwiseAND(F.lit(WORDS - 1)).cast("int").alias("word"), mask.alias("mask")]
+
+
+def blocks_for(n: int) -> int:
+    return max(1, math.ceil(n * BITS / (64 * WORDS)))
+
+
+def bloom(hashes: DataFrame, n: int) -> DataFrame:
+    """block, words: a Bloom filter of about n hashes (column h)."""
+    bits = hashes.select(*places(F.col("h"), blocks_for(n))).groupBy("block", "word").agg(F.bit_or("mask").alias("bits"))
+    held = bits.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))  # WORDS at most
+    return held.select("block", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda k: F.coalesce(F.col("held")[k], F.lit(0).cast("long"))).alias("words"))
 
 
-def _bit(bitmap: str, at: str) -> Column:
-    """Whether bit at is set: bit k lies in byte k / 8, counted from the lowest bit."""
-    return F.expr(f"(cast(conv(hex(substring({bitmap}, cast({at} div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast({at} % 8 as int))) != 0")
+def probed(rows: DataFrame, hashes: DataFrame, n: int) -> DataFrame:
+    """rows with maybe: whether h may be one of the n hashes. Rows stay where they are: the filter is broadcast, at most SLICE_BYTES of it."""
+    block, word, mask = places(F.col("h"), blocks_for(n))
+    at = rows.withColumns({"block": block, "word": word, "mask": mask}).join(F.broadcast(bloom(hashes, n)), "block", "left")
+    hit = F.get("words", "word").bitwiseAND(F.col("mask")) == F.col("mask")
+    return at.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("block", "word", "mask", "words")
 
 
 def groups(documents: DataFrame) -> DataFrame:
     """One row for each row of documents: doc_id, keep_id, group_size, kept, text_sha256, and n_chars of the original."""
     norm = normalised(F.col("text"))
-    rows = documents.count()  # footers only, over files
-    slots = 1 << max(16, math.ceil(math.log2(max(1, rows) * BITS_PER_ROW)))
-    at = F.pmod(F.xxhash64(norm), F.lit(slots)) + 1  # bitmap positions count from 1
-    found = written(repeated_filter(documents.select(at.alias("at"))), "bloom")
-    size = found.count() * 4096
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), at.alias("at"), F.sha2(norm.cast("binary"), 256).alias("text_sha256"), F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_chars"))
-    rows = rows.withColumn("bucket", F.bitmap_bucket_number("at")).withColumn("bit", F.bitmap_bit_position("at"))
-    probed = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "bucket", "left")
-    probed = probed.select("doc_id", "text_sha256", "n_chars", F.coalesce(_bit("bitmap", "bit"), F.lit(False)).alias("maybe"), F.monotonically_increasing_id().alias("row"))
-    digests = written(probed, "digests")
-    alone = digests.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_chars")
-    many = digests.where("maybe")
+    slim = written(
+        documents.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(norm).alias("h"), F.sha2(norm.cast("binary"), 256).alias("text_sha256"),
+            F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_chars"), F.monotonically_increasing_id().alias("row"),
+        ), "digests",
+    )
+    again = written(slim.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "again")
+    n = again.count()
+    slices = math.ceil(n * BITS / 8 / SLICE_BYTES) or 1
+    if slices == 1:
+        flagged = written(probed(slim, again, n), "flagged")
+    else:
+        own = F.pmod(F.xxhash64(F.col("h"), F.lit(2)), F.lit(slices)).cast("int").alias("slice")
+        by_slice, again_by = written(slim.select("*", own), "sliced", "slice"), written(again.select("*", own), "again", "slice")
+        made = [written(probed(by_slice.where(F.col("slice") == k).drop("slice"), again_by.where(F.col("slice") == k).drop("slice"), -(-n // slices)), "flagged") for k in range(slices)]
+        flagged = made[0]
+        for more in made[1:]:
+            flagged = flagged.unionByName(more)
+        forget(by_slice, again_by)
+    forget(slim, again)
+    alone = flagged.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_chars")
+    many = flagged.where("maybe")
     order = F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("row").alias("d"))
     best = many.groupBy("text_sha256").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    best = written(best.withColumn("size", F.col("group_size")), "groups")
     # groups of at least a thousandth of these rows are at most a thousand: their rows stay where they are
-    best = written(best, "groups")
-    large = F.col("group_size") > max(100, (best.agg(F.sum("group_size")).first()[0] or 0) // 1000)
-    hot = best.where(large)
-    in_hot = many.join(F.broadcast(hot), "text_sha256")
-    in_other = many.join(F.broadcast(hot.select("text_sha256")), "text_sha256", "left_anti").join(best.where(~large), "text_sha256")
-    judged = in_hot.unionByName(in_other).select(
+    bound = max(100, (best.agg(F.sum("group_size")).first()[0] or 0) // 1000)
+    judged = spread_join(many, best, "text_sha256", "size", bound).select(
         "doc_id", F.col("best.c").alias("keep_id"), "group_size", (F.col("row") == F.col("best.d")).alias("kept"), "text_sha256", "n_chars"
     )
     return alone.unionByName(judged)
@@ -81,18 +113,10 @@ def keep(documents: DataFrame) -> DataFrame:
     Rows none of whose copies goes pass by their doc_id alone. Where rows share a doc_id and only some of them stay,
     the text decides; of rows that agree in both, one stays.
     """
-    judged = written(groups(documents).select("doc_id", "text_sha256", "n_chars", "kept"), "judged")
-    hit = judged.groupBy("doc_id").agg(F.bool_and("kept").alias("all"), F.bool_or("kept").alias("some")).where("not all")
-    gone = hit.select(F.col("doc_id").alias("_gone"))
-    stay = documents.join(gone, documents["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    mixed = written(judged.where("kept").join(hit.where("some").select("doc_id"), judged["doc_id"].eqNullSafe(hit["doc_id"]), "left_semi").distinct(), "mixed")
-    if mixed.isEmpty():
-        return stay
-    names = ["_sha", "_n"]
-    keyed = documents.withColumns({"_sha": F.sha2(normalised(F.col("text")).cast("binary"), 256), "_n": F.length(F.coalesce("text", F.lit(""))).cast("long")})
-    keys = mixed.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_s"), F.col("n_chars").alias("_m"))
-    some = keyed.join(keys, keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_s")) & (F.col("_n") == F.col("_m")), "left_semi")
-    return stay.unionByName(some.dropDuplicates(["doc_id", *names]).drop(*names))
+    mark = F.concat_ws(":", F.col("text_sha256"), F.col("n_chars").cast("string"))
+    judged = written(groups(documents).select("doc_id", mark.alias("mark"), F.col("kept").alias("stays")), "judged")
+    own = F.concat_ws(":", F.sha2(normalised(F.col("text")).cast("binary"), 256), F.length(F.coalesce("text", F.lit(""))).cast("string"))
+    return carried(documents, judged, own)
 
 
 ORACLE = r"""
