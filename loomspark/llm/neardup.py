@@ -8,14 +8,17 @@ probability (1 - 0.8^ROWS)^BANDS, about 1 in 7000, at 0.85 1 in 4 million, and g
 
 Equal sets are one class from the start: classes, not documents, meet in buckets. In a bucket the member with most
 company is the hub; hubs are compared with the members first, components are formed, and only members that lie in
-different components after that are compared with each other, so a large group of copies costs about one comparison a
-member. Every link is confirmed on the full sets (64-bit shingle hashes). Components are found by rounds of large and
+different components after that are compared, those outside a bucket's largest component with the others, so a large
+group of copies costs about one comparison a member. Buckets with many members are told by a count of one in SAMPLED
+sets (which decides where rows are joined, not what is found); their rows stay where they are and what they are joined
+with is broadcast. Every link is confirmed on the full sets (64-bit shingle hashes). Components are found by rounds of large and
 small stars over written tables.
 
 A null or empty text, or one without words, has an empty set and is linked with nothing. component_id is the smallest
 doc_id reachable. Rows that repeat a doc_id are rows of their own; a row without doc_id links others but gives no
-component_id (a group of such rows alone has a null one). An empty table gives no rows. Other columns are left aside;
-keep() returns all of them.
+component_id (a group of such rows alone has a null one). An empty table gives no rows. Other columns are left aside.
+keep() returns all of them, whatever their names; one row of each group stays, that with the smallest doc_id (null after
+all others), and the first of several.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.batches import groups, map_batches, schema_of, small_batches, texts_of
-from loomspark.sources.workspace import written
+from loomspark.llm.batches import carried, groups, map_batches, schema_of, small_batches, spread_join, texts_of
+from loomspark.sources.workspace import forget, written
 
 PERMUTATIONS = 192
 ROWS = 8
@@ -35,6 +38,9 @@ BANDS = 2 * PERMUTATIONS // ROWS
 SIMILAR = (80, 100)  # 100 * intersection >= 80 * union
 #: Members of a hub that one group of rows compares; a hub with more is dealt over several.
 MEMBERS_AT_ONCE = 256
+SAMPLED = 64
+#: Keys that are joined by a broadcast, at most.
+HOT_KEYS = 50_000
 RARE = 4
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
@@ -100,8 +106,12 @@ def similar(a, b) -> bool:
     return SIMILAR[1] * both >= SIMILAR[0] * (small + large - both)
 
 
+def text_mark() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).cast("string")
+
+
 def sets_of(documents: DataFrame, k: int) -> DataFrame:
-    """A written table with a row for each document: uid, doc_id, n, s1 and s2 (128 bits that name the set), bands, and the words, compressed."""
+    """A written table with a row for each document: uid, doc_id, n, s1 and s2 (128 bits that name the set), bands, the words, compressed, and a hash of the text."""
 
     def start():
         import xxhash
@@ -109,7 +119,7 @@ def sets_of(documents: DataFrame, k: int) -> DataFrame:
 
         pack = zstandard.ZstdCompressor(1).compress
 
-        def f(ids, texts):
+        def f(ids, texts, marks):
             out = [[] for _ in range(6)]
             for key, t in zip(ids, texts, strict=True):
                 words = words_of(t)
@@ -118,11 +128,12 @@ def sets_of(documents: DataFrame, k: int) -> DataFrame:
                 row = (key, len(s), None, None, None, None) if name is None else (key, len(s), (name >> 64) - (1 << 63), (name & (1 << 64) - 1) - (1 << 63), bands(s), pack(b" ".join(words)))
                 for c, x in zip(out, row, strict=True):
                     c.append(x)
-            return out
+            return [*out, marks]
 
         return f
 
-    made = map_batches(texts_of(documents), start, "doc_id long, n long, s1 long, s2 long, bands array<long>, words binary")
+    rows = texts_of(documents).withColumn("mark", text_mark())
+    made = map_batches(rows, start, "doc_id long, n long, s1 long, s2 long, bands array<long>, words binary, mark string")
     return written(made.withColumn("uid", F.monotonically_increasing_id()), "sets")
 
 
@@ -161,16 +172,19 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     while True:
+        bound = max(256, edges.count() // HOT_KEYS)
         # large star: neighbours above a node go to the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("size")), "least")
+        large = spread_join(both.where("b > a"), least, "a", "size", bound).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = written(large, "large")
         # small star: a node and its lesser neighbours go to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        lower = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("size")), "least")
+        joined = spread_join(large, lower, "a", "size", bound)
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = written(small, "small")
+        small = written(small, "small")
+        forget(edges, least, large, lower)
+        edges = small
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
@@ -211,36 +225,49 @@ def links_of(sets: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     again = sets.join(classes.where("rows > 1"), ["s1", "s2"]).where("uid <> rep").select("uid")
     first = sets.where("n > 0").join(again, "uid", "left_anti")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = first.select("uid", "n", F.explode("bands").alias("band")).repartition(parts, "band")  # dealt out once for both uses
-    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("company")).where("company > 1")
-    in_shared = written(keys.join(shared.hint("merge"), "band"), "shared")
-    company = in_shared.groupBy("uid").agg(F.sum("company").alias("company"))
+    keys = first.select("uid", "n", F.explode("bands").alias("band"))
+    some = first.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLED)) == 0)
+    hot = some.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("c"))
+    hot = written(hot.where(F.col("c") >= max(8, some.count() * BANDS // HOT_KEYS)).select("band"), "hot")  # HOT_KEYS at most
+    in_hot = keys.join(F.broadcast(hot), "band")
+    in_hot = in_hot.join(F.broadcast(in_hot.groupBy("band").agg(F.count(F.lit(1)).alias("size"))), "band")
+    other = keys.join(F.broadcast(hot), "band", "left_anti").repartition(parts, "band")  # dealt out once for both uses
+    shared = other.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    in_shared = written(in_hot.unionByName(other.join(shared.hint("merge"), "band")), "shared")
+    bound = max(256, in_shared.count() // HOT_KEYS)
+    company = in_shared.groupBy("uid").agg(F.sum("size").alias("company"))
     members = written(in_shared.select("band", "uid", "n").join(company, "uid"), "members")
     # the list of sets grows with the corpus at every size, so it is never broadcast
     core = written(sets.select("uid", "words").join(company.select("uid").hint("merge"), "uid", "left_semi"), "core")
     fits = (F.lit(SIMILAR[1]) * F.least("hub_n", "n") >= F.lit(SIMILAR[0]) * F.greatest("hub_n", "n")) & (F.col("hub") != F.col("uid"))
 
     def hubs(rows: DataFrame) -> DataFrame:
-        best = rows.groupBy("band").agg(F.max_by(F.struct("uid", "n", "comp"), F.struct("company", -F.col("uid"))).alias("h"))
-        return best.select("band", F.col("h.uid").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp"))
+        best = rows.groupBy("band").agg(F.max_by(F.struct("uid", "n", "comp"), F.struct("company", -F.col("uid"))).alias("h"), F.count(F.lit(1)).alias("size"))
+        return written(best.select("band", F.col("h.uid").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp"), "size"), "hubs")
 
     links, comps, tested = None, None, None
     for turn in range(3):
         rows = members.withColumn("comp", F.col("uid")) if comps is None else members.join(comps, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
         if comps is not None:  # buckets that still hold several components
-            open_ = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-            rows = written(rows.join(open_, "band", "left_semi"), "open")
+            open_ = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("band", "size")
+            rows = written(spread_join(rows, written(open_, "bands"), "band", "size", bound), "open")
         if turn < 2:
-            pairs = rows.join(hubs(rows), "band").where(fits & (F.col("comp") != F.col("hub_comp")))
+            pairs = spread_join(rows, hubs(rows), "band", "size", bound).where(fits & (F.col("comp") != F.col("hub_comp")))
         else:
             own, meet = rare(core, rows.select("uid").distinct(), k)
             every = rows.groupBy("uid").agg(F.collect_list("band").alias("bands"))  # BANDS at most
             mine = rows.join(own, "uid", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own", "company").join(every, "uid")
+            # members outside the largest component of a bucket meet the others; a bucket's members are dealt over several tasks
+            held = mine.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
+            largest = held.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.sum("c").alias("size"))
+            largest = written(largest.withColumn("deals", F.ceil(F.col("size") / MEMBERS_AT_ONCE).cast("int")), "largest")
+            mine = spread_join(mine, largest, "band", "size", bound).withColumn("deal", F.pmod(F.xxhash64("uid"), F.col("deals")).cast("int"))
             mine = written(mine, "mine")
-            other = mine.select("band", F.col("uid").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), F.col("most").alias("hub_most"), F.col("bands").alias("hub_bands"))
+            other = mine.where("comp <> big").select("band", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("uid").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), F.col("most").alias("hub_most"), F.col("bands").alias("hub_bands"))
             here = F.array_min(F.array_intersect("bands", "hub_bands")) == F.col("band")  # a pair counts in one of its buckets
             can = F.lit(SIMILAR[0] + SIMILAR[1]) * (F.least("most", "hub_most") + F.col("both")) >= F.lit(SIMILAR[0]) * (F.col("n") + F.col("hub_n"))
-            pairs = mine.withColumn("both", F.lit(0)).join(other, "band").where(fits & can & (F.col("comp") < F.col("hub_comp")) & here)
+            once = ((F.col("comp") == F.col("big")) | (F.col("comp") < F.col("hub_comp"))) & (F.col("comp") != F.col("hub_comp"))
+            pairs = mine.withColumn("both", F.lit(0)).join(other.hint("shuffle_hash"), ["band", "deal"]).where(fits & can & once & here)
             one = mine.select("uid", "n", "comp", "most").distinct()
             ends = one.select(F.col("uid").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), F.col("most").alias("hub_most"))
             pairs = pairs.select("hub", "uid").unionByName(meet.join(one, "uid").join(ends, "hub").where(fits & can & (F.col("comp") != F.col("hub_comp"))).select("hub", "uid"))
@@ -259,22 +286,37 @@ def links_of(sets: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return comps
 
 
-def group(documents: DataFrame, k: int = 5) -> DataFrame:
-    """One row for each row of documents: doc_id, n_shingles, component_id, kept."""
+def judged(documents: DataFrame, k: int = 5) -> DataFrame:
+    """One row for each row of documents: doc_id, n_shingles, component_id, mark (a hash of its text), comp (null if it is alone) and uid."""
     sets = sets_of(documents, k)
     classes = written(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("rows")), "classes")
     comps = links_of(sets, classes, k)
     linked = classes.join(comps.withColumnRenamed("uid", "rep"), "rep")
     least = linked.groupBy("comp").agg(F.min("lo").alias("least"))
-    of_class = linked.join(least, "comp").select("rep", "least")
+    of_class = linked.join(least, "comp").select("rep", "least", "comp")
     # classes of one document that aren't linked need no row here
-    named = classes.join(of_class, "rep", "left").where("rows > 1 or least is not null").select("s1", "s2", F.coalesce("least", "lo").alias("component"), F.lit(True).alias("grouped"))
-    rows = sets.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
-    component = F.when(F.col("grouped"), F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = classes.join(of_class, "rep", "left").where("rows > 1 or comp is not null")
+    named = written(named.select("s1", "s2", F.when(F.col("comp").isNull(), F.col("lo")).otherwise(F.col("least")).alias("component"), F.coalesce("comp", "rep").alias("comp"), F.col("rows").alias("size")), "named")
+    bound = max(256, sets.count() // HOT_KEYS)
+    rows = sets.select("doc_id", "n", "s1", "s2", "mark", "uid")
+    many = named.where(F.col("size") > bound)  # HOT_KEYS at most
+    keys = F.struct("s1", "s2")
+    hot = rows.withColumn("set", keys).join(F.broadcast(many.select(keys.alias("set"), "component", "comp")), "set").drop("set")
+    other = rows.join(F.broadcast(many.select("s1", "s2")), ["s1", "s2"], "left_anti").join(named.where(F.col("size") <= bound).drop("size").hint("merge"), ["s1", "s2"], "left")
+    component = F.when(F.col("comp").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    return hot.unionByName(other).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "mark", "comp", "uid")
+
+
+def group(documents: DataFrame, k: int = 5) -> DataFrame:
+    """One row for each row of documents: doc_id, n_shingles, component_id, kept."""
+    return judged(documents, k).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep(documents: DataFrame, k: int = 5) -> DataFrame:
-    """The rows of documents but those whose group has a smaller doc_id; all columns, in order. Where rows share a doc_id, they stay if one of them does."""
-    gone = group(documents, k).groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_any")).where("not _any").select("_gone")
-    return documents.join(gone, documents["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of documents that stay, one of each group; all columns, in order."""
+    rows = written(judged(documents, k), "judged")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    first = rows.where("comp is not null").groupBy("comp").agg(F.min(order)["uid"].alias("uid"))
+    stays = rows.where("comp is null").unionByName(rows.join(first.select("uid"), "uid", "left_semi").select(rows.columns)).select("uid").withColumn("stays", F.lit(True))
+    told = rows.select("uid", "doc_id", "mark").join(stays, "uid", "left").select("doc_id", "mark", F.coalesce("stays", F.lit(False)).alias("stays"))
+    return carried(documents, written(told, "told"), text_mark())
