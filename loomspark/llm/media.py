@@ -4,8 +4,8 @@ One Aho-Corasick automaton over the magic bytes of all known formats finds where
 for the format confirms structure and lengths there and tells where the medium ends. What is confirmed at byte 0
 corrects the declared type; what is confirmed further on is embedded and can be carved out.
 
-texts_as_media() stores the bytes of texts losslessly as 8-bit samples of a WAV file, so that the payload read back
-is the data chunk that the validator found. A null value has no type and no embedded media; a null text is the empty
+texts_as_media() makes the bytes of texts losslessly the 8-bit samples of a WAV file; digest() writes these to the shared
+folder and reads them back, and the payload is the data chunk that the validator found in what was stored. A null value has no type and no embedded media; a null text is the empty
 text, whose payload is 64 zero bytes. Equal values give equal results. Rows are handled alone; an empty table gives
 none; columns besides those named are left aside.
 """
@@ -13,13 +13,17 @@ none; columns besides those named are left aside.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
+from functools import lru_cache
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
 from loomspark.llm.batches import map_batches, texts_of
+from loomspark.sources.workspace import written
 
 #: Magic bytes, their distance from the start of the medium, and the format they may begin.
 MAGIC = [
@@ -42,6 +46,8 @@ TYPES = {
 }
 BLOCK = 64
 RATE = 8000
+_PDF = re.compile(rb"%PDF-[0-9]\.[0-9]")
+_PDF_END = re.compile(rb"startxref[\r\n ]{1,4}[0-9]{1,20}[\r\n ]{1,4}%%EOF")
 
 
 class Found(NamedTuple):
@@ -151,21 +157,33 @@ def _bmp(v: bytes, at: int) -> Found | None:
 
 
 def _pdf(v: bytes, at: int) -> Found | None:
-    if at + 8 > len(v) or not (v[at + 5 : at + 6].isdigit() and v[at + 6 : at + 7] == b"." and v[at + 7 : at + 8].isdigit()):
+    """Up to the last mark of an end that follows a table of references, before the next header: a PDF may have been added to."""
+    if not _PDF.match(v, at):
         return None
-    end = v.find(b"%%EOF", at)
-    return Found("pdf", at, end + 5, at, end + 5) if end > 0 and v.find(b"startxref", at, end) > 0 else None
+    headers, ends = _marks(v)[:2]
+    after = bisect_right(headers, at)
+    k = bisect_left(ends, headers[after] if after < len(headers) else len(v) + 1) - 1
+    return Found("pdf", at, ends[k], at, ends[k]) if k >= 0 and ends[k] > at else None
 
 
 def _zip(v: bytes, at: int) -> Found | None:
-    pos = at
-    while (end := v.find(b"PK\x05\x06", pos)) >= 0:
+    end = _marks(v)[2].get(at)
+    return Found("zip", at, end, at, end) if end else None
+
+
+@lru_cache(1)
+def _marks(v: bytes) -> tuple[list[int], list[int], dict[int, int]]:
+    """Found in one pass: PDF headers, ends of PDF files, and the end of each archive by its start, which its end record tells."""
+    archives: dict[int, int] = {}
+    end = v.find(b"PK\x05\x06")
+    while end >= 0:
         if end + 22 <= len(v):
             size, offset, note = struct.unpack_from("<IIH", v, end + 12)
-            if at + offset + size == end and v[at + offset : at + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(v):
-                return Found("zip", at, end + 22 + note, at, end + 22 + note)
-        pos = end + 1
-    return None
+            at = end - size - offset
+            if at >= 0 and v[at + offset : at + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(v):
+                archives.setdefault(at, end + 22 + note)
+        end = v.find(b"PK\x05\x06", end + 1)
+    return [m.start() for m in _PDF.finditer(v)], [m.end() for m in _PDF_END.finditer(v)], archives
 
 
 def _gzip(v: bytes, at: int) -> Found | None:
@@ -315,7 +333,7 @@ def digest(documents: DataFrame) -> DataFrame:
 
         return f
 
-    made = texts_as_media(documents)
+    made = written(texts_as_media(documents), "media")
     return map_batches(
         made, start, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string", text=3
     )
