@@ -221,13 +221,13 @@ class Pieces:
             k = end + 1 - len(p)
             if longest[k] is None or len(p) > len(longest[k]):
                 longest[k] = p
-        failed, out, pos = 0, [], 0
+        failed, out, pos = bytearray(n // 8 + 1), [], 0
         piece = longest[0]
         while pos < n:
-            while piece is not None and (failed >> (pos + len(piece)) & 1 or out and not fits(out[-1], piece)):
+            while piece is not None and (failed[pos + len(piece) >> 3] >> (pos + len(piece) & 7) & 1 or out and not fits(out[-1], piece)):
                 piece = shorter.get(piece)
             if piece is None:
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 piece = out.pop()
                 pos -= len(piece)
                 piece = shorter.get(piece)
