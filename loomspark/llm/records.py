@@ -10,7 +10,7 @@ all little-endian. The mask turns the checksum by 15 bits and adds a constant, s
 checksums stay meaningful. Beside each shard lies an index: u64 offsets of the frames, then the shard's length, so
 that record k of a shard is found without reading the others (read_at).
 
-Shards follow doc_id: shard order, then frame order, is ascending doc_id (nulls first; equal ids by text).
+Shards follow doc_id: shard order, then frame order, is ascending doc_id (nulls first; equal ids by their place in the input).
 Nulls: a null text is the empty text. Every text ends with end_id. An empty table makes no shards. Any other columns
 of the input are left aside. A task that runs again writes its shard anew under the same name by a rename.
 """
@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomspark.llm.batches import groups, small_batches, texts_of
 from loomspark.llm.tokenize import encoder
@@ -109,7 +110,9 @@ def write_records(documents: DataFrame, encode: Callable[[], Callable[[list[str]
         store.move(own, f"{name}.records")
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((shard, f"part-{shard:06d}", len(offsets), tokens, at), arrow.types, strict=True)], schema=arrow)
 
-    dealt = texts_of(documents).repartitionByRange(max(1, shards), "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share a doc_id, or have none, are told apart by their place, so that they need not fall into one shard
+    dealt = texts_of(documents).withColumn("place", F.monotonically_increasing_id()).repartitionByRange(max(1, shards), "doc_id", "place")
+    dealt = dealt.sortWithinPartitions("doc_id", "place").drop("place")
     made = sorted(small_batches(dealt).mapInArrow(run, schema_of(SHARDS)).collect())  # one row a shard
     return spark.createDataFrame(made, SHARDS)
 
