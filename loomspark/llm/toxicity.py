@@ -10,8 +10,9 @@ marks that pair, or after a verb of reporting, it counts as quoted and by QUOTED
 pronoun of address as directed. A logistic model over the counts of hits by kind gives the score; what it weighs has
 prior means, so that kinds that no labelled row shows keep a sensible weight.
 
-Fitted on at most SAMPLE_ROWS labelled rows, chosen by a hash of doc_id, so that its cost doesn't grow; every document
-is scored whole. Labels, language, source and doc_id are no inputs of a score. A null text is the empty text and has no
+Fitted on at most SAMPLE_ROWS labelled rows, chosen by a hash of doc_id, so that its cost doesn't grow. For the lexicon, of
+near copies among them (one least shingle and label) one counts, or each word of a text that is copied often would tell;
+terms are words of 3 to 40 letters. Every document is scored whole. Labels, language, source and doc_id are no inputs of a score. A null text is the empty text and has no
 hits. Without labelled rows of both classes the lexicon is empty and the prior weights hold. Repeated rows each give a
 row; a doc_id labelled twice counts as toxic if one label says so. Only the columns named are read.
 """
@@ -31,8 +32,6 @@ from loomspark.llm.batches import groups, map_batches, schema_of, small_batches,
 from loomspark.sources.workspace import written
 
 SAMPLE_ROWS = 8000
-#: Terms of the lexicon at most, the most telling first; a parameter of the model.
-TERMS = 200
 THRESHOLD = 0.7
 #: What a quoted hit counts for, beside being quoted.
 QUOTED_SHARE = 0.25
@@ -267,7 +266,7 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexico
     ok = {s: v for s, v in starts.items() if v[0] >= 1.25 * most.get(s, 0)}
     # words under it stay, as their misspellings may be further from it; a longer beginning, of the same bound, finds nothing more
     ok = {s: v for s, v in ok.items() if not any(len(s) > k and s[:k] in ok for k in PREFIXES)}
-    ranked = sorted([*((g2(*v), t, v, False) for t, v in words.items()), *((g2(*v), t, v, True) for t, v in ok.items())], reverse=True)[:TERMS]
+    ranked = sorted([*((g2(*v), t, v, False) for t, v in words.items()), *((g2(*v), t, v, True) for t, v in ok.items())], reverse=True)
     weight = lambda v: min(5.0, max(0.5, odds(*v)))
     return Lexicon({t: weight(v) for _, t, v, s in ranked if not s}, {t: weight(v) for _, t, v, s in ranked if s})
 
