@@ -124,6 +124,37 @@ def test_sniffing(spark):
     assert [(e["type"], bytes(e["content"])) for e in got["inside"]["embedded"]] == [("image/png", png()), ("application/gzip", packed)]
 
 
+def test_scans_take_time_in_proportion(spark):
+    """Magic bytes over and over, and what ends a PDF or an archive."""
+    import io
+    import time
+    import zipfile
+
+    began = time.time()
+    for v in (b"%PDF-1.4" * 200_000, b"PK\x03\x04" * 200_000, b"%PDF-1.4startxref 1 %%EOF" * 50_000, b"PK\x03\x04PK\x05\x06" * 100_000):
+        media.sniffer().find(v)
+    assert time.time() - began < 20
+    pdf = b"%PDF-1.4 x\nstartxref\n9\n%%EOF"
+    added = pdf + b" more startxref\n11\n%%EOF"
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a.txt", "hello")
+    v = b"junk" + added + b"\n" + pdf + b"%PDF-1.x" + held.getvalue() + b"PK\x03\x04"
+    assert [(f.kind, v[f.start : f.end]) for f in media.sniffer().find(v)] == [("pdf", added), ("pdf", pdf), ("zip", held.getvalue())]
+
+
+def test_media_that_vary(spark):
+    """Declared types are corrected and media inside texts are found by the same path that the query takes."""
+    texts_ = ["plain", "GIF89a" + "x" * 40, "a RIFF b", "%PDF-1.4 x\nstartxref\n9\n%%EOF tail", None]
+    df, _ = frame(spark, list(enumerate(texts_)))
+    got = {x["doc_id"]: x["feature"] for x in media.digest(df).collect()}
+    assert all(f.startswith("text/plain>audio/wav;44-") for f in got.values())
+    assert "embedded=0;" in got[0] and "embedded=0;" in got[1] and "embedded=pdf:0-28;" in got[3]
+    for k, t in enumerate(texts_):
+        payload = np.frombuffer(media.padded((t or "").encode()), np.uint8).astype(int)
+        assert got[k].endswith(f";mean={payload.sum() * 1000 // len(payload)};step={abs(np.diff(payload)).max()}")
+
+
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -182,6 +213,22 @@ def test_pii(spark):
     assert pii.digest(empty(spark)).collect() == pii.redact(empty(spark)).collect() == []
 
 
+def test_added_spans_of_each_kind(spark):
+    """What the labelers agree on is added beside the base spans; what they speak against is not."""
+    r = random.Random(5)
+    hexes = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    rows, want = [], {}
+    for i in range(240):
+        kind, word = (("secret", f"token: {hexes(40)}"), ("number", f"ssn {r.randint(100, 999)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"), ("name", f"contact Mr. John {r.choice(['Smith', 'Miller'])}"), (None, f"order {'0' * 12}"), (None, "see @media here"))[i % 5]
+        head = " ".join(r.choices(["alpha", "beta", "gamma"], k=r.randint(1, 30)))
+        rows.append((i, f"{head} {word} and more"))
+        at = len(head) + 1 + len(word.split(" ")[0]) + 1 + (4 if kind == "name" else 0)
+        want[i] = f"{kind}:{at}:{len(head) + 1 + len(word)}" if kind else ""
+    df, _ = frame(spark, rows)
+    got = {x["doc_id"]: x["spans"] for x in pii.digest(df).collect()}
+    assert got == want
+
+
 def test_reliabilities_finds_the_labelers():
     r = random.Random(0)
     counts = Counter()
@@ -278,6 +325,40 @@ def test_exact(spark):
     assert sorted(map(tuple, exact.digest(plain).collect())) == sorted(con.sql(exact.ORACLE).fetchall())
 
 
+def test_bloom_has_all_and_little_else(spark):
+    rows = spark.range(20000).selectExpr("xxhash64(id) AS h", "id")
+    held = rows.where("id % 4 = 0").select("h")
+    got = exact.probed(rows, held, 5000)
+    assert got.where("id % 4 = 0 and not maybe").count() == 0 and got.where("id % 4 <> 0 and maybe").count() < 300
+    assert exact.probed(rows, held.limit(0), 0).where("maybe").count() == 0
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    df, _ = frame(spark)
+    want = Counter(map(tuple, exact.digest(df).collect()))
+    monkeypatch.setattr(exact, "SLICE_BYTES", 8)
+    assert Counter(map(tuple, exact.digest(df).collect())) == want
+
+
+CLASHING = "key own gone said mark stays each any all some _gone _id _s _m _sha _n h maybe row uid comp size place slice KEY".split()
+
+
+def test_keep_takes_any_names_and_repeated_ids(spark):
+    """Rows that share a doc_id or have none are told apart by their text; the columns may have any names."""
+    a, b = "one two three four five six seven eight nine ten", "quite another text with several words in it"
+    rows = [(1, a), (2, a + " "), (2, b), (2, b), (3, ""), (3, ""), (None, a), (None, None), (None, ""), (7, "alone and apart from all")]
+    df = spark.createDataFrame([(i, t, *([str(n)] * len(CLASHING[:-1]))) for n, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHING[:-1])).repartition(3)
+    got = exact.keep(df)
+    assert got.columns == df.columns
+    # of the texts like `a` the longest stays; of empty ones the least id
+    assert Counter((x["doc_id"], x["text"]) for x in got.collect()) == Counter([(2, a + " "), (2, b), (3, ""), (7, "alone and apart from all")])
+    got = neardup.keep(df)
+    assert got.columns == df.columns
+    assert Counter((x["doc_id"], x["text"]) for x in got.collect()) == Counter([(1, a), (2, b), (3, ""), (3, ""), (None, None), (None, ""), (7, "alone and apart from all")])
+    for keep in (exact.keep, neardup.keep):
+        assert keep(df.limit(0)).collect() == []
+
+
 def test_toxicity(spark):
     import math
 
