@@ -10,14 +10,32 @@ from pyspark.sql import DataFrame
 
 #: A numeric range is written out if it spans at most this many numbers.
 LONGEST_RANGE = 100
-_START = re.compile(r"\b(supplementary\s+)?fig(?:ure)?s?\b\.?\s*(?=S?[1-9])", re.I)
+#: Words that make a label's figures supplementary, and the warnings.
+SUPPLEMENT = ("supplementary", "supplemental", "supp.")
+NOT_EXPANDED, PANELS_NOT_EXPANDED = "figure_range_not_expanded", "panel_range_not_expanded"
+_START = re.compile(rf"(?<!\w)((?:{'|'.join(map(re.escape, SUPPLEMENT))})\s+)?fig(?:ure)?s?\b\.?\s*(?=S?[1-9])", re.I)
+_BRACKET = re.compile(r"\s*\(([A-Za-z](?:\s*(?:[-–—,&]|and\b)\s*[A-Za-z])*)\)(?!\w)")
 _TOKEN = re.compile(r"\s*(?:(?P<join>,?\s*(?:and|&)\b|,|&)|(?P<to>[-–—]))?\s*(?:(?P<s>S)?(?P<number>[1-9]\d*)(?P<panel>[A-Za-z])?(?![A-Za-z0-9])|(?P<letter>[A-Za-z])(?![A-Za-z0-9]))")
 
 
+def listed(panels: str) -> tuple[list[str], bool]:
+    """Letters of a list such as `a, c-e`, in order; False if a range runs backwards (its ends stay)."""
+    out: list[str] = []
+    ok = True
+    for dash, letter in re.findall(r"([-–—])?\s*([a-z])(?![a-z])", panels.lower()):
+        if dash and out and out[-1] < letter:
+            out += [chr(c) for c in range(ord(out[-1]) + 1, ord(letter))]
+        elif dash:
+            ok = False
+        if letter not in out:
+            out.append(letter)
+    return out, ok
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str, str, str]]:
     """(start, end, scope, number, panels, warning) for each figure that a label names; all members of a label share its span.
 
-    A label is a prefix and numbers with optional panel letters, joined by commas, "and" or dashes. A dash between plain
+    A label is a prefix and numbers with optional panel letters, plain or in brackets, joined by commas, "and" or dashes. A dash between plain
     numbers of one scope stands for those between; any other range keeps its ends with a warning.
     """
     out, after = [], 0
@@ -36,7 +54,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str, str]]:
                 if m["to"] and last < letter:
                     items[-1][2].extend(chr(c) for c in range(ord(last) + 1, ord(letter) + 1))
                 elif m["to"]:
-                    warning = "panel_range_not_expanded"
+                    warning = PANELS_NOT_EXPANDED
                 elif letter not in items[-1][2]:
                     items[-1][2].append(letter)
             else:
@@ -47,8 +65,14 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str, str]]:
                     if own == items[-1][0] and not panels and not items[-1][2] and 0 < b - a <= LONGEST_RANGE:
                         items += [(own, str(n), []) for n in range(a + 1, b)]
                     else:
-                        warning = "figure_range_not_expanded"
+                        warning = NOT_EXPANDED
                 items.append((own, m["number"], panels))
+                if bracket := _BRACKET.match(text, m.end()):
+                    letters, ok = listed(bracket[1])
+                    panels += [c for c in letters if c not in panels]
+                    warning = warning if ok else PANELS_NOT_EXPANDED
+                    end = bracket.end()
+                    continue
             end = m.end()
         after = end
         out += [(start.start(), end, s, n, "".join(p), warning) for s, n, p in items]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,21 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+_LINE_END = re.compile("(\r\n|\r|\n)")
 LINES = "line_no long, char_start long, char_end long, byte_start long, line string"
 
 
 def line_table(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every line of every text, without its line feed, with running offsets. One pass over a partition, no shuffle."""
+    """Every line of every text, without its end (CR LF, CR or LF), with running offsets. One pass over a partition, no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for k, t in zip(batch[key], batch[text], strict=True):
                 at = byte = 0
-                for i, line in enumerate([] if t is None else t.split("\n")):
+                parts = [] if t is None else [*_LINE_END.split(t), ""]
+                for i, (line, end) in enumerate(zip(parts[::2], parts[1::2], strict=True)):
                     rows.append((k, i, at, at + len(line), byte, line))
-                    at += len(line) + 1
-                    byte += len(line.encode()) + 1
+                    at += len(line) + len(end)
+                    byte += len(line.encode()) + len(end)
             yield pd.DataFrame(rows, columns=[key, "line_no", "char_start", "char_end", "byte_start", "line"])
 
     kind = documents.schema[key].dataType.simpleString()

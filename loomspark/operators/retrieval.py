@@ -25,14 +25,39 @@ def normalised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest of vectors for each of a bounded set of queries (query_id, vector), ties by key: query_id, key, score, rank.
+    """The k nearest of vectors for each query (query_id, vector), ties by key: query_id, key, score, rank.
 
-    Queries are the small side and are broadcast in blocks by the caller's bound; each task keeps its own best k.
+    Vectors and queries are of one length and keys unique. Both sides are cut into blocks of about BLOCK_ROWS; each pair of
+    blocks is one task's work, which hands on k rows a query, so nothing is broadcast and no task holds all scores of a query.
     """
-    q = normalised(queries, "query_id", vector).withColumnRenamed("v", "q")
-    scored = normalised(vectors, key, vector).join(F.broadcast(q)).select("query_id", key, dot(F.col("q"), F.col("v")).alias("score"))
-    best = scored.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(key).alias("k")))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best")).select("query_id", F.col("col.k").alias(key), (-F.col("col.s")).alias("score"), (F.col("pos") + 1).alias("rank"))
+    import numpy as np
+
+    a = normalised(vectors, key, vector).select(F.col(key).cast("long").alias("id"), "v")
+    q = normalised(queries, "query_id", vector).select(F.col("query_id").cast("long").alias("id"), "v")
+    many, few = (max(1, -(-x.count() // BLOCK_ROWS)) for x in (a, q))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = a.select("id", "v", F.lit(False).alias("asks"), own(many).alias("i"), every(few).alias("j"))
+    dealt = dealt.unionByName(q.select("id", "v", F.lit(True).alias("asks"), every(many).alias("i"), own(few).alias("j")))
+
+    def best(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("id", "ascending")])
+        asks, ids = rows["asks"].to_numpy().astype(bool), rows["id"].to_numpy()
+        out: list[tuple] = []
+        if asks.any() and not asks.all():
+            v = rows["v"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+            scores = v[asks] @ v[~asks].T
+            found, every_q = ids[~asks], np.arange(int(asks.sum()))
+            for _ in range(min(k, len(found))):
+                at = scores.argmax(axis=1)  # the first of equals, which has the least key
+                out.append((ids[asks], found[at], scores[every_q, at]))
+                scores[every_q, at] = -np.inf
+        cols = [np.concatenate([o[c] for o in out]) if out else np.empty(0, t) for c, t in enumerate(("int64", "int64", "float64"))]
+        return pa.table({"query_id": cols[0], key: cols[1], "score": cols[2]})
+
+    near = dealt.groupBy("i", "j").applyInArrow(best, f"query_id long, {key} long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)  # k rows of each block of vectors
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", key, "score", "rank")
 
 
 def topk(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -92,6 +117,10 @@ def rank_distinct_cut(scored: DataFrame, document: str, key: str, n: int) -> Dat
     return best.select(document, F.col("best.k").alias(key), (-F.col("best.s")).alias("score")).orderBy(F.col("score").desc(), key).limit(n)
 
 
+#: Tokens of a query of maxsim() at most: it is broadcast.
+QUERY_TOKENS = 4096
+
+
 def mean_pool(vectors: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
     """group, pos, value: the mean vector of each group at unit length, one row a dimension."""
     parts = vectors.select(group, F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "x"))
@@ -103,5 +132,7 @@ def mean_pool(vectors: DataFrame, group: str, vector: str = "embedding") -> Data
 def maxsim(tokens: DataFrame, query: DataFrame, group: str = "label", vector: str = "embedding") -> DataFrame:
     """group, score: for each query token the best dot product over the group's tokens, averaged over query tokens. query is a bounded set (token_id, vector)."""
     q = query.select("token_id", F.col(vector).cast("array<double>").alias("q"))
+    if q.count() > QUERY_TOKENS:
+        raise ValueError(f"a query has {QUERY_TOKENS} tokens at most")
     pairs = tokens.select(group, F.col(vector).cast("array<double>").alias("v")).join(F.broadcast(q)).select(group, "token_id", dot(F.col("q"), F.col("v")).alias("s"))
     return pairs.groupBy(group, "token_id").agg(F.max("s").alias("s")).groupBy(group).agg(F.avg("s").alias("score"))

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 #: Titles, without their numbers and in lower case, that begin a major section.
 MAJORS = {
-    "abstract": "abstract", "summary": "abstract", "introduction": "introduction", "background": "introduction", "results": "results", "discussion": "discussion",
-    "methods": "methods", "materials and methods": "methods", "conclusion": "conclusion", "conclusions": "conclusion", "significance": "significance", "references": "references",
-    "acknowledgments": "acknowledgments", "funding": "funding", "author contributions": "author contributions", "disclosures": "disclosures", "supplementary": "supplementary",
+    "abstract": "abstract", "summary": "abstract", "introduction": "introduction", "results": "results", "results and discussion": "results_and_discussion",
+    "discussion": "discussion", "methods": "methods", "online methods": "methods", "materials and methods": "methods", "materials & methods": "methods",
+    "conclusions": "conclusion", "conclusion": "conclusion", "significance": "significance", "references": "references", "acknowledgments": "acknowledgments",
+    "acknowledgements": "acknowledgments", "funding": "funding", "author contributions": "author_contributions", "authorship": "author_contributions",
+    "disclosures": "disclosures", "supplementary material": "supplementary_material",
 }
 FRONT = {"abstract", "introduction", "significance"}
 FURNITURE = {"header", "footer", "page_number"}

@@ -7,26 +7,11 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import digests, figures, text
 from loomspark.operators import graph, quotes, realms, relations, retrieval, review, segments, sets, spans, versions, worklist
+from loomspark.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from loomspark.sources import store
 from loomspark.sources.tables import table
 from loomspark.streaming.latest import stream_latest
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    """Register a (spark, sf_dir) function under its own name, with its oracle SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # -- derived inputs, the same on both sides
 
 LINES_SQL = """

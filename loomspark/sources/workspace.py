@@ -56,6 +56,11 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     return found
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """The rows of tables of one schema that written() made, as one scan however many they are."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t._written_at for t in tables])
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Delete tables that written() made and that nothing reads any more."""
     for df in tables:
