@@ -199,22 +199,12 @@ def exactly_once_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.assignment_faults(docs, assigned, "doc_id")
 
 
-@query("""
-WITH o AS (SELECT lang || '/' || (doc_id // 2) AS path, n_chars AS c FROM documents WHERE doc_id % 2 = 0 AND doc_id % 10 <> 0), n AS (SELECT lang || '/' || (doc_id // 2) AS path, n_chars + CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END AS c FROM documents WHERE doc_id % 2 = 0 AND doc_id % 14 <> 0)
-SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.c <> n.c THEN 'changed' ELSE 'unchanged' END AS state FROM o FULL JOIN n ON n.path = o.path
-""")
-def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").withColumn("path", F.concat_ws("/", "lang", F.floor(F.col("doc_id") / 2).cast("string")))
-    new = docs.where("doc_id % 14 <> 0").withColumn("n_chars", F.col("n_chars") + F.when(F.col("doc_id") % 6 == 0, 1).otherwise(0))
-    return versions.manifest_diff(docs.where("doc_id % 10 <> 0"), new, "path", "n_chars")
-
-
 @query("""
 WITH o AS (SELECT lang || '/' || doc_id AS path, n_chars AS c FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT lang || '/' || doc_id AS path, n_chars + CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END AS c FROM documents WHERE doc_id % 14 <> 0)
 SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.c <> n.c THEN 'changed' ELSE 'unchanged' END AS state FROM o FULL JOIN n ON n.path = o.path
 """)
-def manifest_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """manifest_diff over all documents, odd ids as well; what either side lacks and what changed is planted."""
+def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two manifests of all documents; what either side lacks and what changed is planted."""
     docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "lang", F.col("doc_id").cast("string")))
     new = docs.where("doc_id % 14 <> 0").withColumn("n_chars", F.col("n_chars") + F.when(F.col("doc_id") % 6 == 0, 1).otherwise(0))
     return versions.manifest_diff(docs.where("doc_id % 10 <> 0"), new, "path", "n_chars")

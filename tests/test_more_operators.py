@@ -184,4 +184,4 @@ def test_manifest_diff_of_all_documents(spark, tmp_path):
 
     made(spark, [(i, "de", 5 + i) for i in range(1, 72)], "doc_id long, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     want = {f"de/{i}": "added" if i % 10 == 0 else "removed" if i % 14 == 0 else "changed" if i % 6 == 0 else "unchanged" for i in range(1, 72) if i % 70}
-    assert dict(map(tuple, catalogue.manifest_diff_all(spark, str(tmp_path)).collect())) == want
+    assert dict(map(tuple, catalogue.manifest_diff(spark, str(tmp_path)).collect())) == want
