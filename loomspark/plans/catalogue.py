@@ -373,7 +373,9 @@ def reachable_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.supported(each, leaves).select("node")
 
 
-@query()
+@query(f"""
+WITH {DAG_SQL.strip()} SELECT node, CAST(length(bin(node)) - 1 AS INTEGER) AS round FROM (SELECT src AS node FROM dag UNION SELECT dst FROM dag)
+""")
 def support_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes all of whose premises are supported down to base nodes, with the round in which they are."""
     edges = dag(spark, sf_dir)
@@ -527,7 +529,17 @@ def oscillation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worklist.oscillations(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations
+), f AS (
+  SELECT conv_id, turn, size, k, size AS held, CAST(0 AS BIGINT) AS batch_no FROM t WHERE k = 1
+  UNION ALL
+  SELECT conv_id, turn, size, k, CASE WHEN new THEN size ELSE before + size END, batch_no + CASE WHEN new THEN 1 ELSE 0 END
+  FROM (SELECT t.*, f.held AS before, f.batch_no, f.held > 0 AND f.held + t.size > 800 AS new FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1)
+)
+SELECT conv_id, turn, size, batch_no FROM f
+""")
 def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("size"))
     return worklist.greedy_batches(turns, ["conv_id"], "turn", "size", 800)
@@ -622,7 +634,19 @@ def long_text_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.groupBy("doc_id").agg(F.max("char_end").alias("chars"), F.bool_and(ok).alias("tiled"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {LINES_SQL.strip()}, t AS (SELECT doc_id, line_no AS ord, line_no // 20 AS page, length(line) AS chars FROM lines), f AS (
+  SELECT doc_id, ord, page, chars AS held, 1 AS pages, CAST(0 AS BIGINT) AS chunk_no FROM t WHERE ord = 0
+  UNION ALL
+  SELECT doc_id, ord, page, CASE WHEN new THEN chars ELSE held + 2 + chars END, CASE WHEN new THEN 1 ELSE pages + turned END, chunk_no + CASE WHEN new THEN 1 ELSE 0 END
+  FROM (
+    SELECT t.*, f.held, f.pages, f.chunk_no, CASE WHEN t.page <> f.page THEN 1 ELSE 0 END AS turned,
+           f.held + 2 + t.chars > 2000 OR f.pages + CASE WHEN t.page <> f.page THEN 1 ELSE 0 END > 2 AS new
+    FROM f JOIN t ON t.doc_id = f.doc_id AND t.ord = f.ord + 1
+  )
+)
+SELECT doc_id, ord, chunk_no FROM f
+""")
 def bounded_group_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = text.line_table(table(spark, sf_dir, "documents"))
     return segments.bounded_chunks(lines.select("doc_id", F.col("line_no").alias("ord"), F.floor(F.col("line_no") / 20).alias("page"), F.length("line").alias("chars")), "doc_id", 2000, 2)
@@ -640,9 +664,20 @@ def figure_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return figures.figure_mentions(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS "group", least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem WHERE l_suppkey <> l_partkey),
+t AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY a, b) AS k FROM p), f AS (
+  SELECT "group", a, b, k, [a, b] AS nodes, 1 AS n, CAST(0 AS BIGINT) AS batch_no FROM t WHERE k = 1
+  UNION ALL
+  SELECT "group", a, b, k, CASE WHEN new THEN [a, b] ELSE more END, CASE WHEN new THEN 1 ELSE n + 1 END, batch_no + CASE WHEN new THEN 1 ELSE 0 END
+  FROM (SELECT *, len(more) > 64 OR n >= 200 AS new FROM (
+    SELECT t.*, f.n, f.batch_no, list_distinct(list_concat(f.nodes, [t.a, t.b])) AS more FROM f JOIN t ON t."group" = f."group" AND t.k = f.k + 1
+  ))
+)
+SELECT "group", a, b, batch_no FROM f
+""")
 def pair_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("group"), F.least("l_suppkey", "l_partkey").alias("a"), F.greatest("l_suppkey", "l_partkey").alias("b")).where("a <> b").distinct()
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("group"), F.least("l_suppkey", "l_partkey").alias("a"), F.greatest("l_suppkey", "l_partkey").alias("b")).where("a <> b").distinct()
     return segments.pair_batches(pairs, 64, 200)
 
 
