@@ -61,6 +61,26 @@ def together(tables: list[DataFrame]) -> DataFrame:
     return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t._written_at for t in tables])
 
 
+class Gathered:
+    """Tables of one schema that come one by one. Sixteen of a size are written as one, so a scan of all has few paths however many came."""
+
+    def __init__(self, *tables: DataFrame):
+        self.held: list[tuple[int, DataFrame]] = []
+        for t in tables:
+            self.add(t)
+
+    def add(self, table: DataFrame) -> None:
+        self.held.append((0, table))
+        while len(self.held) >= 16 and self.held[-16][0] == self.held[-1][0]:
+            level, last = self.held[-1][0], [t for _, t in self.held[-16:]]
+            self.held[-16:] = [(level + 1, written(together(last), "gathered"))]
+            # the newest is still read as the front of the next round
+            forget(*last[:-1])
+
+    def rows(self) -> DataFrame:
+        return together([t for _, t in self.held])
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Delete tables that written() made and that nothing reads any more."""
     for df in tables:
