@@ -36,8 +36,10 @@ PERMUTATIONS = 192
 ROWS = 8
 BANDS = 2 * PERMUTATIONS // ROWS
 SIMILAR = (80, 100)  # 100 * intersection >= 80 * union
-#: Members of a hub that one group of rows compares; a hub with more is dealt over several.
-MEMBERS_AT_ONCE = 256
+#: Members of a hub that one group of rows compares; a hub with more is dealt over several, and its words are read for each.
+MEMBERS_AT_ONCE = 64
+#: Members of a bucket that one group of rows holds in the last turn.
+DEALT_AT_ONCE = 256
 SAMPLED = 64
 #: Keys that are joined by a broadcast, at most.
 HOT_KEYS = 50_000
@@ -260,7 +262,7 @@ def links_of(sets: DataFrame, classes: DataFrame, k: int) -> DataFrame:
             # members outside the largest component of a bucket meet the others; a bucket's members are dealt over several tasks
             held = mine.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
             largest = held.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.sum("c").alias("size"))
-            largest = written(largest.withColumn("deals", F.ceil(F.col("size") / MEMBERS_AT_ONCE).cast("int")), "largest")
+            largest = written(largest.withColumn("deals", F.ceil(F.col("size") / DEALT_AT_ONCE).cast("int")), "largest")
             mine = spread_join(mine, largest, "band", "size", bound).withColumn("deal", F.pmod(F.xxhash64("uid"), F.col("deals")).cast("int"))
             mine = written(mine, "mine")
             other = mine.where("comp <> big").select("band", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("uid").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), F.col("most").alias("hub_most"), F.col("bands").alias("hub_bands"))
