@@ -46,9 +46,10 @@ class PieceEncoder:
 
     def _pieces(self, text: str) -> list[str]:
         if self.style == "word":
-            with contextlib.suppress(UnicodeEncodeError):
-                text.encode("latin-1")  # in this range lower case is the library's, and comes to the same before its normaliser
-                text = text.lower()
+            if "<|" not in text:  # special strings are found in the case they were written in
+                with contextlib.suppress(UnicodeEncodeError):
+                    text.encode("latin-1")  # in this range lower case is the library's, and comes to the same before its normaliser
+                    text = text.lower()
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return _REGULAR_CUT.split(text) if _SPACE_RUN.search(text) else text.split(" ")
 
