@@ -46,3 +46,13 @@ def mode(df: DataFrame, groups: list[str], value: str) -> DataFrame:
 
 def top_per_group(df: DataFrame, groups: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def object_aggregate(df: DataFrame, groups: list[str], key: str, value: str, name: str = "object") -> DataFrame:
+    """A JSON object of each group, its keys in order; of a key's several values the greatest counts, rows without a key none.
+
+    Null values stay as nulls. A group all of whose keys are null has no row.
+    """
+    one = df.where(F.col(key).isNotNull()).groupBy(*groups, F.col(key).cast("string").alias("_key")).agg(F.max(value).alias("_value"))
+    entries = F.array_sort(F.collect_list(F.struct("_key", "_value")))
+    return one.groupBy(*groups).agg(F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"}).alias(name))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import figures, scalars, text
-from loomspark.operators import checks
+from loomspark.operators import checks, sets
 from loomspark.plans.catalogue import LINES_SQL
 from loomspark.plans.registry import query
 from loomspark.sources.tables import table
@@ -255,3 +255,13 @@ def escaped_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit(" *"), key, F.lit("*\n\t<b>  a & b [x](y) "), F.col("p_brand"), F.lit("\u0007 "))
     marked = F.concat(key, F.lit(' <b class="x">&lt;</b>\n &quot;a&quot; &amp;&nbsp;b  H<sub>2</sub>O'))
     return table(spark, sf_dir, "part").select("p_partkey", scalars.markdown_escaped(raw).alias("escaped"), scalars.diff_normalised(marked).alias("plain"))
+
+
+@query("""
+WITH one AS (SELECT l_orderkey, CAST(l_suppkey AS VARCHAR) AS k, max(l_linenumber) AS v FROM lineitem GROUP BY ALL),
+  o AS (SELECT l_orderkey, '{' || string_agg('"' || k || '":' || v, ',' ORDER BY k) || '}' AS object FROM one GROUP BY l_orderkey)
+SELECT l_orderkey, object, sha256(object) AS digest FROM o
+""")
+def object_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sets.object_aggregate(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_suppkey", "l_linenumber")
+    return found.withColumn("digest", F.sha2(F.col("object").cast("binary"), 256))

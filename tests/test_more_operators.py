@@ -3,7 +3,7 @@
 import random
 
 from loomspark.functions import figures
-from loomspark.operators import realms, retrieval, review, segments
+from loomspark.operators import realms, retrieval, review, segments, sets
 from loomspark.sources import code, store
 from loomspark.sources.workspace import fresh_path
 
@@ -185,3 +185,11 @@ def test_manifest_diff_of_all_documents(spark, tmp_path):
     made(spark, [(i, "de", 5 + i) for i in range(1, 72)], "doc_id long, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     want = {f"de/{i}": "added" if i % 10 == 0 else "removed" if i % 14 == 0 else "changed" if i % 6 == 0 else "unchanged" for i in range(1, 72) if i % 70}
     assert dict(map(tuple, catalogue.manifest_diff(spark, str(tmp_path)).collect())) == want
+
+
+def test_object_aggregate(spark):
+    rows = [(1, "b", "x"), (1, "a", None), (1, "b", "z"), (1, None, "q"), (2, None, "q"), (None, "k", '"')]
+    df = spark.createDataFrame(rows, "g int, k string, v string")
+    got = {r["g"]: r["object"] for r in sets.object_aggregate(df, ["g"], "k", "v").collect()}
+    assert got == {1: '{"a":null,"b":"z"}', None: '{"k":"\\""}'}
+    assert sets.object_aggregate(df.limit(0), ["g"], "k", "v").count() == 0
