@@ -68,9 +68,11 @@ class Lexicon:
                 node = self.root
                 for c in term:
                     node = node.setdefault(c, {})
-                    node["most"] = max(node.get("most", 0), distance_bound(term))
+                    node[f"most {end}"] = max(node.get(f"most {end}", 0), distance_bound(term))
                 node[end] = term
+        self.widest = max(map(distance_bound, [*words, *beginnings]), default=0)
         self.known: dict[str, tuple | None] = {}
+        self.judged: dict[str, tuple | None] = {}
         self.start_sizes = sorted({len(t) for t in beginnings}, reverse=True)
         # b edits leave one of b + 1 parts of a term whole: (place, part) -> lengths that a word with it may have
         self.parts: dict[tuple[int, str], set[int]] = {}
@@ -108,24 +110,38 @@ class Lexicon:
         return any(word[:k] in self.start_heads for k in self.start_head_sizes) or any(i in held.get(word[i : i + k], ()) for k, held in self.start_parts.items() for i in self.start_reach[k])
 
     def walked(self, word: str, end: str) -> tuple[int, str] | None:
-        """(distance, term) of the nearest term of the trie that ends so: as a "word", or as a "start" of which any beginning of word is near."""
+        """(distance, term) of the nearest term of the trie that ends so: as a "word", or as a "start" of which any beginning of word is near.
+
+        Of a row only the entries are worked out that can be within the widest bound, those at most that far from the
+        row's depth. A branch is left where no term that ends so has a bound as wide as the row's least entry.
+        """
         best: tuple | None = None
-        n = len(word)
+        n, widest, most = len(word), self.widest, f"most {end}"
+        far = widest + 1
 
-        def walk(node: dict, row: list[int]) -> None:
+        def walk(node: dict, depth: int, row: list[int]) -> None:
             nonlocal best
+            lo, hi = max(1, depth - widest), min(n, depth + widest)
             for c, below in node.items():
-                if len(c) > 1:
-                    if c == end and (d := row[n] if end == "word" else min(row)) <= distance_bound(below) and (best is None or (d, below) < best):
-                        best = (d, below)
+                if len(c) > 1 or most not in below:
                     continue
-                new = [row[0] + 1]
-                for k in range(n):
-                    new.append(min(new[k] + 1, row[k + 1] + 1, row[k] + (word[k] != c)))
-                if min(new) <= below["most"]:
-                    walk(below, new)
-
-        walk(self.root, list(range(n + 1)))
+                new = [far] * (n + 1)
+                left = least = new[lo - 1] = min(far, depth) if lo == 1 else far
+                for k in range(lo, hi + 1):
+                    x = row[k - 1] if word[k - 1] == c else row[k - 1] + 1
+                    if row[k] < x:
+                        x = row[k] + 1
+                    if left < x:
+                        x = left + 1
+                    left = new[k] = x
+                    if x < least:
+                        least = x
+                if least <= below[most]:
+                    if end in below and (d := new[n] if end == "word" else least) <= distance_bound(below[end]) and (best is None or (d, below[end]) < best):
+                        best = (d, below[end])
+                    walk(below, depth + 1, new)
+
+        walk(self.root, 1, [min(far, k) for k in range(n + 1)])
         return best
 
     def match(self, word: str) -> tuple[str, int, bool] | None:
@@ -141,8 +157,12 @@ class Lexicon:
 
     def match_any(self, word: str) -> tuple[str, int, bool] | None:
         """match(), then the nearest misspelt beginning."""
+        if word in self.judged:
+            return self.judged[word]
         if (m := self.match(word)) is None and self.near_start(word) and (best := self.walked(word, "start")):
-            return best[1], best[0], True
+            m = best[1], best[0], True
+        if len(self.judged) < TABLE_ENTRIES and len(word) <= 40:
+            self.judged[word] = m
         return m
 
     def of(self, token: str) -> tuple[str, int, bool] | None:

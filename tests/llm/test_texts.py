@@ -417,6 +417,31 @@ def test_levenshtein_walk_is_exact():
         assert (found is not None) == (bool(near) or w.startswith("achlich")), (w, found)
 
 
+def test_walk_gives_the_nearest_term_and_its_distance():
+    words, starts = {"idiot": 1.0, "idiots": 1.0, "worthless": 1.0, "scum": 1.0}, {"stupid": 1.0, "idioti": 1.0, "moronical": 1.0}
+    lex = toxicity.Lexicon(words, starts)
+
+    def last_row(term, word):
+        row = list(range(len(word) + 1))
+        for i, x in enumerate(term, 1):
+            new = [i]
+            for j, y in enumerate(word, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row
+
+    r = random.Random(3)
+    for _ in range(2000):
+        w = list(r.choice([*words, *starts]))
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(w) + 1)
+            w[k : k + r.randint(0, 1)] = r.choices("abcdiotslwrhe", k=r.randint(0, 1))
+        w = "".join(w) + r.choice(["", "ly", "ation"])
+        for end, terms, of in (("word", words, lambda row: row[-1]), ("start", starts, min)):
+            near = [(d, t) for t in terms if (d := of(last_row(t, w))) <= toxicity.distance_bound(t)]
+            assert lex.walked(w, end) == min(near, default=None), (w, end)
+
+
 def test_misspelt_beginnings_and_the_words_under_them():
     lex = toxicity.Lexicon({"worthless": 1.0}, {"achlich": 1.0, "thtib": 1.0})
 
