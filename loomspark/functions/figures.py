@@ -88,3 +88,37 @@ def figure_mentions(documents: DataFrame, key: str = "doc_id", text: str = "text
             yield pd.DataFrame(rows, columns=[key, "char_start", "char_end", "scope", "number", "panels", "warning"])
 
     return documents.select(key, text).mapInPandas(run, f"{key} {kind}, char_start long, char_end long, scope string, number string, panels string, warning string")
+
+
+#: Block types that are captions, and how a caption says that it goes on.
+CAPTIONS = ("image_caption", "figure_title")
+_GOES_ON = re.compile(r"[\s.|:–—-]*\(?\s*(?:continued\b|cont\.(?!\w))", re.I)
+_PARTED = re.compile(r"\s*[.|:]")
+
+
+def anchors(text: str, is_caption: bool) -> list[tuple[str, str, str, str, bool]]:
+    """(scope, number, panels, warning, whether it goes on from an earlier page) of the figures that a caption is of.
+
+    The text has to begin with their label; figures that it names later are not its own. Unless the block's type says that
+    it is a caption, a separator or a mark of continuation has to follow the label.
+    """
+    found = mentions(text)
+    if not found or text[: found[0][0]].strip():
+        return []
+    begin, end = found[0][:2]
+    goes_on = _GOES_ON.match(text, end) is not None
+    if not (is_caption or goes_on or _PARTED.match(text, end)):
+        return []
+    return [(*m[2:], goes_on) for m in found if m[0] == begin]
+
+
+def caption_anchors(blocks: DataFrame, key: str = "block_id", text: str = "text", kind: str = "type") -> DataFrame:
+    """A row for each figure that a block is the caption of; a null text has none, a null type is no caption's."""
+    of_key = blocks.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *a) for k, t, c in zip(batch[key], batch[text], batch[kind], strict=True) for a in anchors(t or "", c in CAPTIONS)]
+            yield pd.DataFrame(rows, columns=[key, "scope", "number", "panels", "warning", "is_continuation"])
+
+    return blocks.select(key, text, kind).mapInPandas(run, f"{key} {of_key}, scope string, number string, panels string, warning string, is_continuation boolean")

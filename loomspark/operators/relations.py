@@ -46,3 +46,20 @@ def impacts(nodes: DataFrame, **routes: DataFrame) -> DataFrame:
         hit = refs.join(nodes.select("node").distinct(), "node", "left_semi").select("node", F.lit(name).alias("route"), "ref")
         out = hit if out is None else out.unionByName(hit)
     return out.distinct()
+
+
+def refresh_targets(links: DataFrame, pages: DataFrame, import_id: str) -> DataFrame:
+    """Current pages that impacted links touch, with their links in order.
+
+    links: link_id, request_id, snapshot_id; pages: data_id, page_id, snapshot_id, those that are current. A link counts if it
+    was made for import_id and its snapshot is a current page's; any other is in historical_links.
+    """
+    hit = links.where(F.col("request_id") == import_id).join(pages, "snapshot_id")
+    return hit.groupBy("data_id", "page_id", "snapshot_id").agg(F.sort_array(F.collect_list("link_id")).alias("links"))
+
+
+def historical_links(links: DataFrame, pages: DataFrame, import_id: str) -> DataFrame:
+    """The links that refresh_targets leaves aside; links without a request or snapshot are among them."""
+    now = pages.select("snapshot_id").distinct().withColumn("is_current", F.lit(True))
+    seen = links.join(now, "snapshot_id", "left")
+    return seen.where(~(F.col("request_id").eqNullSafe(import_id) & F.col("is_current").eqNullSafe(True))).select(links.columns)

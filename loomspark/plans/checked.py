@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import figures, scalars, text
-from loomspark.operators import checks, sets
+from loomspark.operators import checks, relations, sets
 from loomspark.plans.catalogue import LINES_SQL
 from loomspark.plans.registry import query
 from loomspark.sources.tables import table
@@ -265,3 +265,46 @@ SELECT l_orderkey, object, sha256(object) AS digest FROM o
 def object_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sets.object_aggregate(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_suppkey", "l_linenumber")
     return found.withColumn("digest", F.sha2(F.col("object").cast("binary"), 256))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, CAST(1 + p_partkey % 9 AS VARCHAR) AS a, p_partkey % 4 AS k FROM part)
+SELECT p_partkey, 'main' AS scope, a AS number, 'b' AS panels, '' AS warning, false AS is_continuation FROM p WHERE k = 0
+UNION ALL SELECT p_partkey, 'supplement', a, '', '', true FROM p WHERE k = 1
+UNION ALL SELECT p_partkey, 'main', a, '', '', false FROM p WHERE k = 2 AND p_partkey % 8 = 2
+""")
+def caption_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions with a separator, with a mark of continuation, by their type only, and prose that mentions a figure."""
+    a, k = (F.col("p_partkey") % 9 + 1).cast("string"), F.col("p_partkey") % 4
+    said = F.when(k == 0, F.concat(F.lit("Figure "), a, F.lit("b. As in Figure 3"))).when(k == 1, F.concat(F.lit(" Fig. S"), a, F.lit(" (continued)")))
+    said = said.when(k == 2, F.concat(F.lit("Figure "), a, F.lit(" shows more"))).otherwise(F.concat(F.lit("See Figure "), a, F.lit(".")))
+    kind = F.when(F.col("p_partkey") % 8 == 2, "image_caption").otherwise("text")
+    return figures.caption_anchors(table(spark, sf_dir, "part").select("p_partkey", said.alias("text"), kind.alias("type")), "p_partkey")
+
+
+#: Line items as links of items to snapshots, orders as pages of which the finished ones are current, return flags as requests.
+_LINKS = ("l_orderkey * 10 + l_linenumber", "l_returnflag", "l_orderkey")
+
+
+def _links_and_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    names = ("link_id", "request_id", "snapshot_id")
+    links = table(spark, sf_dir, "lineitem").select(*[F.expr(e).alias(n) for e, n in zip(_LINKS, names, strict=True)])
+    current = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    return links, current.select(F.col("o_custkey").alias("data_id"), F.col("o_orderkey").alias("page_id"), F.col("o_orderkey").alias("snapshot_id"))
+
+
+@query("""
+SELECT o_custkey AS data_id, o_orderkey AS page_id, string_agg(CAST(l_orderkey * 10 + l_linenumber AS VARCHAR), ',' ORDER BY l_orderkey * 10 + l_linenumber) AS links
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_returnflag = 'R' GROUP BY ALL
+""")
+def refresh_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = relations.refresh_targets(*_links_and_pages(spark, sf_dir), "R")
+    return found.select("data_id", "page_id", F.concat_ws(",", F.col("links").cast("array<string>")).alias("links"))
+
+
+@query("""
+SELECT l_orderkey * 10 + l_linenumber AS link_id, l_returnflag AS request_id, l_orderkey AS snapshot_id FROM lineitem
+WHERE l_returnflag <> 'R' OR l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
+""")
+def historical_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.historical_links(*_links_and_pages(spark, sf_dir), "R")

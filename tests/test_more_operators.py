@@ -3,7 +3,7 @@
 import random
 
 from loomspark.functions import figures
-from loomspark.operators import realms, retrieval, review, segments, sets
+from loomspark.operators import realms, relations, retrieval, review, segments, sets
 from loomspark.sources import code, store
 from loomspark.sources.workspace import fresh_path
 
@@ -193,3 +193,22 @@ def test_object_aggregate(spark):
     got = {r["g"]: r["object"] for r in sets.object_aggregate(df, ["g"], "k", "v").collect()}
     assert got == {1: '{"a":null,"b":"z"}', None: '{"k":"\\""}'}
     assert sets.object_aggregate(df.limit(0), ["g"], "k", "v").count() == 0
+
+
+def test_caption_anchors(spark):
+    rows = [
+        (1, "Figure 2(a,b): cells, as in Figure 1", "text"), (2, "Figure 2 shows cells", "text"), (3, "Figure 2 shows cells", "figure_title"), (4, "Figs. 2-3 cont. from page 1", "text"),
+        (5, "In Figure 2: cells", "image_caption"), (6, None, "image_caption"), (7, "", None), (8, "\n Fig. S4 | x", None),
+    ]
+    got = figures.caption_anchors(made(spark, rows, "block_id long, text string, type string")).collect()
+    want = [(1, "main", "2", "ab", "", False), (3, "main", "2", "", "", False), (4, "main", "2", "", "", True), (4, "main", "3", "", "", True), (8, "supplement", "4", "", "", False)]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_refresh_targets_and_historical_links(spark):
+    links = made(spark, [(3, "now", "s1"), (1, "now", "s1"), (2, "then", "s1"), (4, "now", "old"), (5, None, "s1"), (6, "now", None), (7, "now", "s2")], "link_id long, request_id string, snapshot_id string")
+    pages = made(spark, [("d1", "p1", "s1"), ("d2", "p2", "s2"), ("d3", "p3", "s3")], "data_id string, page_id string, snapshot_id string")
+    got = sorted((r["data_id"], r["links"]) for r in relations.refresh_targets(links, pages, "now").collect())
+    assert got == [("d1", [1, 3]), ("d2", [7])]
+    assert sorted(r["link_id"] for r in relations.historical_links(links, pages, "now").collect()) == [2, 4, 5, 6]
+    assert relations.refresh_targets(links.limit(0), pages, "now").count() == 0
