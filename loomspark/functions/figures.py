@@ -90,9 +90,9 @@ def figure_mentions(documents: DataFrame, key: str = "doc_id", text: str = "text
     return documents.select(key, text).mapInPandas(run, f"{key} {kind}, char_start long, char_end long, scope string, number string, panels string, warning string")
 
 
-#: Block types that are captions, and how a caption says that it goes on.
+#: Block types that are captions, how a caption says that it goes on, and what else may follow its label.
 CAPTIONS = ("image_caption", "figure_title")
-_GOES_ON = re.compile(r"[\s.|:–—-]*\(?\s*(?:continued\b|cont\.(?!\w))", re.I)
+_GOES_ON = re.compile(r"[\s.|:–—-]*(?:\(\s*)?(?:continued\b|cont\.(?!\w))", re.I)
 _PARTED = re.compile(r"\s*[.|:]")
 
 
