@@ -25,7 +25,7 @@ def current_nodes(nodes: DataFrame, revisions: DataFrame, groundings: DataFrame)
 
 
 def current_edges(edges: DataFrame, revisions: DataFrame) -> DataFrame:
-    """Each edge with its current revision's columns. edges: edge_id, predicate, current_revision; revisions: revision, src, dst."""
+    """Each edge with its current revision's columns. edges: edge_id, predicate, current_revision; revisions: revision (of one edge, once), src, dst."""
     return edges.withColumnRenamed("current_revision", "revision").join(revisions.select("revision", "src", "dst"), "revision").select("edge_id", "predicate", "revision", "src", "dst")
 
 
@@ -100,12 +100,16 @@ def edge_consumers(consumptions: DataFrame, supports: DataFrame) -> DataFrame:
 
 
 def edges_among(edges: DataFrame, nodes: DataFrame, usable: DataFrame, required: DataFrame) -> DataFrame:
-    """Edges with both ends among the nodes that are usable, and all required ones, available or not. usable, required: edge_id."""
+    """Edges with both ends among the nodes that are usable, and all required ones, available or not. usable, required: edge_id.
+
+    Both flags are told by edge_id, with a row for each edge of that id; a required id without an edge has a row, too.
+    """
     inside = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
-    known = inside.join(usable.select("edge_id", F.lit(True).alias("ok")), "edge_id")
+    known = inside.join(usable.select("edge_id"), "edge_id", "left_semi").select("edge_id", F.lit(True).alias("ok")).distinct()
     asked = required.select("edge_id", F.lit(True).alias("asked")).distinct()
     flag = lambda c: F.coalesce(c, F.lit(False))
-    return known.select("edge_id", "ok").join(asked, "edge_id", "full").select("edge_id", flag("ok").alias("available"), flag("asked").alias("required"))
+    told = known.join(asked, "edge_id", "full").select("edge_id", flag("ok").alias("available"), flag("asked").alias("required"))
+    return edges.select("edge_id").join(told, "edge_id", "right")
 
 
 def with_premises(selected: DataFrame, edges: DataFrame) -> DataFrame:

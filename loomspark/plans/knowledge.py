@@ -41,9 +41,12 @@ def current_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DAG_SQL.strip()}, {EDGES_SQL} SELECT edge_id, predicate, edge_id * 2 + src % 2 AS revision, src, dst FROM edges")
 def current_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = edges(spark, sf_dir).withColumn("current_revision", F.col("edge_id") * 2 + F.col("src") % 2)
-    revisions = found.select("src", "dst", F.explode(F.array(F.col("edge_id") * 2, F.col("edge_id") * 2 + 1)).alias("revision"))
-    return knowledge.current_edges(found.select("edge_id", "predicate", "current_revision"), revisions)
+    """A revision is named by its edge's ends and its number: edge_id alone isn't unique from 599998 nodes on."""
+    found = edges(spark, sf_dir)
+    name = lambda k: F.struct("src", "dst", k.cast("long").alias("k"))
+    revisions = found.select("src", "dst", F.explode(F.array(name(F.lit(0)), name(F.lit(1)))).alias("revision"))
+    current = knowledge.current_edges(found.select("edge_id", "predicate", name(F.col("src") % 2).alias("current_revision")), revisions)
+    return current.withColumn("revision", F.col("edge_id") * 2 + F.col("revision.k"))
 
 
 @query("""

@@ -57,9 +57,13 @@ UNION SELECT 'support_refresh', CAST(src * 1000 + dst AS VARCHAR), node FROM tou
 UNION SELECT 'discovery', least(node, other) || '-' || greatest(node, other), node FROM ranked WHERE k <= 3
 """)
 def expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = edges(spark, sf_dir)
+    """Edges are told apart by both ends, in 32 bits each: edge_id alone isn't unique from 599998 nodes on. It is what is returned."""
+    found = edges(spark, sf_dir).withColumn("edge_id", F.shiftleft("src", 32).bitwiseOR(F.col("dst")))
     hit = table(spark, sf_dir, "part").where("p_size = 17").select(F.col("p_partkey").alias("node"))
-    return transitions.expanded(hit, found, found.where("src % 3 = 0").select("edge_id", (F.col("src") * 1000 + F.col("dst")).alias("record")), 3)
+    made = transitions.expanded(hit, found, found.where("src % 3 = 0").select("edge_id", (F.col("src") * 1000 + F.col("dst")).alias("record")), 3)
+    edge = F.expr("try_cast(ref AS BIGINT)")
+    named = (F.shiftright(edge, 32) * 100000 + edge.bitwiseAND(F.lit((1 << 32) - 1))).cast("string")
+    return made.withColumn("ref", F.when(F.col("kind") == "edge_revalidate", named).otherwise(F.col("ref")))
 
 
 @query("""

@@ -38,3 +38,17 @@ def test_entry_contract(spark):
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and set(catalogue.QUERIES) <= set(queries)
     assert __spark_entry__.entry(spark).columns == ["doc_id", "item_id", "char_start", "char_end", "quote_sha256"]
+
+
+@pytest.mark.parametrize("name, size", [("current_edges", 1), ("edges_among", 2), ("expansion", 17), ("graph_query", 2)])
+def test_edges_that_share_an_id(spark, tmp_path, name, size):
+    """src * 100000 + dst is one number for two edges from 599998 nodes on: (600000, 300000) and (600001, 200000), say."""
+    near = [*range(599990, 600020), *range(1199990, 1200030)]
+    keys = sorted({k // (2**a * 3**b) for k in near for a in range(21) for b in range(13)})  # with all they derive from
+    c = duckdb.connect()
+    c.execute("CREATE TABLE part AS SELECT unnest(?::BIGINT[]) AS p_partkey, ?::INTEGER AS p_size, 'x' AS p_name", [keys, size])
+    c.sql(f"COPY part TO '{tmp_path}/part.parquet'")
+    assert c.sql(f"WITH {catalogue.DAG_SQL.strip()} SELECT count(*) - count(DISTINCT src * 100000 + dst) FROM dag").fetchall()[0][0] > 6
+    got = __spark_entry__.queries()[name](spark, str(tmp_path))
+    want = c.sql(catalogue.ORACLES[name])
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
