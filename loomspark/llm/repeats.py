@@ -291,8 +291,8 @@ def stored(documents: DataFrame) -> DataFrame:
     return written(made.withColumn("uid", F.monotonically_increasing_id()), "texts")
 
 
-def phrases_once(texts: DataFrame) -> DataFrame:
-    """uid, once: the spans (start * 2^31 + end) of the phrases of a text that occur once in the corpus."""
+def phrases_once(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """uid, once: the spans (start * 2^31 + end) of the phrases of a text that occur once in the texts of `length` bytes at least."""
 
     def start():
         import zstandard
@@ -305,7 +305,7 @@ def phrases_once(texts: DataFrame) -> DataFrame:
 
         return f
 
-    rows = map_batches(texts.where(F.col("n") >= LENGTH).select("uid", "body"), start, "h long, uid long, span long")
+    rows = map_batches(texts.where(F.col("n") >= length).select("uid", "body"), start, "h long, uid long, span long")
     alone = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("uid"), F.min("span").alias("span")).where("c = 1")
     return alone.groupBy("uid").agg(F.collect_list("span").alias("once"))  # a text's own phrases
 
@@ -439,7 +439,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = stored(documents)
     total = texts.agg(F.sum("n")).first()[0] or 0
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) * 3 // PART_BYTES)
-    segs = cut(texts, phrases_once(texts), length, parts)
+    segs = cut(texts, phrases_once(texts, length), length, parts)
     places = segs.where("uid is not null").select("uid", "start", "count", "g1", "g2")
     ranges, rows = repeats_in_parts(segs.where("part is not null").select("part", "body"), length, parts)
     if not rows.isEmpty():

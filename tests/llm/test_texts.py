@@ -82,6 +82,19 @@ def test_repeats_of_hot_parts(spark, monkeypatch):
     assert Counter(tuple(x) for x in repeats.digest(df).collect()) == want
 
 
+def test_repeats_of_other_lengths(spark):
+    """A passage of over 50 words, below 400 bytes, that is a text of its own and also lies within a longer one."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    passage = " ".join(word() for _ in range(52))
+    rows = [(0, passage), (1, " ".join([*(word() for _ in range(90)), passage, *(word() for _ in range(90))])), (2, " ".join(word() for _ in range(60)))]
+    df, _ = frame(spark, rows)
+    for n in (100, len(passage), len(passage) + 1):
+        want = [v[:2] for v in brute_repeats([t.encode() for _, t in rows], n)]
+        got = {x["doc_id"]: (x["n_bytes"], sum(x["spans"][1::2]) - sum(x["spans"][::2])) for x in repeats.without_repeats(df, n).collect()}
+        assert [got[k] for k, _ in rows] == want, n
+
+
 def test_media(spark):
     df, rows = frame(spark)
     got = defaultdict(set)
