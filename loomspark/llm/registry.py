@@ -21,7 +21,7 @@ def op2_token_counts(spark, sf_dir):
 
 
 def op3_repeats(spark, sf_dir):
-    return repeats.digest(_documents(spark, sf_dir))
+    return repeats.digest(_documents(spark, sf_dir), repeats.WORDS)
 
 
 def op4_media(spark, sf_dir):

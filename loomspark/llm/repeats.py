@@ -19,6 +19,12 @@ in this order is `length` bytes at least. All of it compares bytes, not hashes.
 Parts are sized by their bytes. A gram hash with more than HOT_BYTES of distinct segments is not gathered: its starts
 are counted as rows by a 128-bit digest of their bytes.
 
+Passages. Beside the strings of `length` bytes, strings of a number of words (runs of bytes other than white space, from the
+first byte of the first to the last of the last) that another row's text has as well are counted, whatever their length in
+bytes; nothing is removed for them. Those that hold a phrase that occurs once are out here, too. The rest are cut into
+segments of consecutive passages with the same least gram hash; segments of two texts are equal by their digests, and where
+different segments of two texts share a gram hash, their passages are compared one by one by a 128-bit digest.
+
 A null text is the empty text. Texts shorter than `length` bytes keep all. Repeated rows are texts of their own. An empty
 table gives no rows. Columns besides doc_id and text are left aside.
 """
@@ -33,19 +39,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.batches import groups, map_batches, schema_of, small_batches, texts_of
+from loomspark.llm.batches import groups, map_batches, schema_of, small_batches, spread_join, texts_of
 from loomspark.sources.workspace import written
 
 LENGTH = 400
+WORDS = 50  # words of a passage
+WIDE = 32  # bytes of the grams of passages
+TOGETHER = 500_000  # bytes of texts in which passages are looked for at once
 GRAM = 16
 TRIGGER = 64  # a trigger about every so many bytes
 SPLIT = 4096  # starts in a segment: long stretches of one gram are cut, and equal cuts are one entry
 PART_BYTES = 2_000_000
 HOT_BYTES = 4_000_000
+HOT_KEYS = 5_000  # hot keys at most, each with over 2000 rows
 _ENTRY = "<QQQI"  # gram hash, name of the segment, its bytes
 _ENTRY_BYTES = 28
 
 
+def _mixed(x, y):
+    """A 64-bit hash of two numbers of 8 bytes."""
+    import numpy as np
+
+    h = (x * np.uint64(0x9E3779B97F4A7C15)) ^ (y * np.uint64(0xC2B2AE3D27D4EB4F))
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def gram_hashes(raw: bytes):
     """A 64-bit hash of the GRAM bytes from each position on, by doubling."""
     import numpy as np
@@ -57,11 +78,7 @@ def gram_hashes(raw: bytes):
     while width < 8:
         h = (h[:-width] << np.uint64(8 * width)) + h[width:]
         width *= 2
-    h = (h[:-8] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[8:] * np.uint64(0xC2B2AE3D27D4EB4F))
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h
+    return _mixed(h[:-8], h[8:])
 
 
 def phrases(raw: bytes) -> list[tuple[int, int, int]]:
@@ -109,6 +126,52 @@ def segments(raw: bytes, once: list[tuple[int, int]], length: int) -> list[tuple
     return out
 
 
+def words_of(raw: bytes):
+    """Where the words of a text start and end, in its bytes."""
+    import numpy as np
+
+    b = np.frombuffer(raw, np.uint8)
+    word = np.r_[False, (b != 32) & (b - np.uint8(9) > 4), False]  # bytes below 9 wrap round
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    return edges[::2], edges[1::2]
+
+
+def passage_segments(texts: list[bytes], once: list[list[int]], words: int) -> list[tuple[int, int, int, bytes, int]]:
+    """(number of the text, first word, passages in it, name, least gram hash) of the segments of texts; once: as phrases_once() has it.
+
+    Texts are taken together, as most of them have few passages to look at.
+    """
+    import numpy as np
+
+    raw = b"\n".join(texts)
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    starts, ends = words_of(raw)
+    n = len(starts) - words + 1
+    if n < 1:
+        return []
+    # out are the passages over a phrase that occurs once or over the end of a text
+    spans, base = np.array([s for x in once for s in x], np.int64), np.repeat(begin[:-1], [len(x) for x in once])
+    lo = np.searchsorted(ends[words - 1 :], np.r_[base + (spans & 0x7FFFFFFF), begin[1:]])
+    hi = np.searchsorted(starts[:n], np.r_[base + (spans >> 31), begin[1:] - 1], "right")
+    some = lo < hi
+    at = np.flatnonzero(np.cumsum(np.bincount(lo[some], minlength=n + 1) - np.bincount(hi[some], minlength=n + 1))[:n] == 0)
+    if not len(at):
+        return []
+    # grams at the first words of a passage: the words from the last of these on have WIDE bytes at least
+    within, new = words - WIDE // 2, at[1:] != at[:-1] + 1
+    first, last = at[np.r_[True, new]], at[np.r_[new, True]] + within
+    need = np.cumsum(np.bincount(first, minlength=len(starts) + 1) - np.bincount(last, minlength=len(starts) + 1)) > 0
+    grams = np.ndarray(len(raw) - WIDE + 1, f"V{WIDE}", raw, 0, 1)[starts[need[:-1]]].view("<u8").reshape(-1, WIDE // 8)
+    least = sliding_least(_mixed(_mixed(grams[:, 0], grams[:, 1]), _mixed(grams[:, 2], grams[:, 3])), within)[np.cumsum(need)[at] - 1]
+    cuts = np.flatnonzero(np.r_[True, new | (least[1:] != least[:-1]), True])
+    if (cuts[1:] - cuts[:-1]).max() > SPLIT:
+        cuts = np.r_[np.concatenate([np.arange(x, y, SPLIT) for x, y in zip(cuts, cuts[1:], strict=False)]), len(at)]
+    k, m = at[cuts[:-1]], cuts[1:] - cuts[:-1]
+    text = np.searchsorted(begin, starts[k], "right") - 1
+    names = [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(starts[k].tolist(), ends[k + m + words - 2].tolist(), strict=True)]
+    return list(zip(text.tolist(), (k - np.searchsorted(starts, begin)[text]).tolist(), m.tolist(), names, least[cuts[:-1]].view(np.int64).tolist(), strict=True))
+
+
 def dense(keys):
     """The rank of each key among the distinct keys, from 1."""
     import numpy as np
@@ -273,6 +336,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def shortest(length: int, words: int) -> int:
+    """Bytes of the shortest text that may repeat something."""
+    return min(length, 2 * words - 1) if words else length
+
+
 def stored(documents: DataFrame) -> DataFrame:
     """uid, doc_id, n and the compressed bytes of each text, in a written table."""
 
@@ -310,12 +378,13 @@ def phrases_once(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return alone.groupBy("uid").agg(F.collect_list("span").alias("once"))  # a text's own phrases
 
 
-def cut(texts: DataFrame, once: DataFrame, length: int, parts: int) -> DataFrame:
+def cut(texts: DataFrame, once: DataFrame, length: int, parts: int, words: int = 0) -> DataFrame:
     """The segments of all texts, in a written table: uid, start, count, g1, g2 (name), and a task's distinct segments by part, compressed.
 
-    A row has either a segment's place or, at the end of a task, a part (number, gram hashes, body).
+    A row has either a segment's place or, at the end of a task, a part (number, gram hashes, body). With words, segments of
+    passages have places, too: start is the first word, least their gram hash.
     """
-    out = schema_of("uid long, start long, count long, g1 long, g2 long, part int, body binary")
+    out = schema_of("uid long, start long, count long, g1 long, g2 long, least long, part int, body binary")
 
     def run(batches):
         import zstandard
@@ -326,18 +395,25 @@ def cut(texts: DataFrame, once: DataFrame, length: int, parts: int) -> DataFrame
             pack = zstandard.ZstdCompressor(3).compress
             for part, entries in sorted(held.items()):
                 none = pa.array([None], pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array([part], pa.int32()), pa.array([pack(b"".join(entries))], pa.binary())], names=out.names)
+                yield pa.RecordBatch.from_arrays([none, none, none, none, none, none, pa.array([part], pa.int32()), pa.array([pack(b"".join(entries))], pa.binary())], names=out.names)
             held.clear()
 
         for uids, bodies, spans in groups(batches, 1):
-            rows = []
-            for uid, body, bad in zip(uids, bodies, spans, strict=True):
+            rows, held_back, waits = [], [], 0
+            for k, (uid, body, bad) in enumerate(zip(uids, bodies, spans, strict=True)):
                 raw = unpack(body)
+                if words:
+                    held_back.append((uid, raw, bad or ()))
+                    waits += len(raw)
+                    if waits > TOGETHER or k == len(uids) - 1:
+                        own, raws, alone = zip(*held_back, strict=True)
+                        rows += [(own[q], first, m, *struct.unpack("<qq", name), least) for q, first, m, name, least in passage_segments(raws, alone, words)]
+                        held_back, waits = [], 0
                 for lo, m, least in segments(raw, [(s >> 31, s & 0x7FFFFFFF) for s in bad or ()], length):
                     piece = raw[lo : lo + m + length - 1]
                     name = int.from_bytes(hashlib.blake2b(piece, digest_size=16).digest(), "big")
                     g1, g2 = name >> 64, name & (1 << 64) - 1
-                    rows.append((uid, lo, m, _signed(g1), _signed(g2)))
+                    rows.append((uid, lo, m, _signed(g1), _signed(g2), None))
                     if name not in seen:
                         seen.add(name)
                         held[least % parts].append(struct.pack(_ENTRY, least, g1, g2, len(piece)) + piece)
@@ -349,7 +425,7 @@ def cut(texts: DataFrame, once: DataFrame, length: int, parts: int) -> DataFrame
                 seen, size = set(), 0
         yield from packed()
 
-    both = texts.where(F.col("n") >= length).join(once, "uid", "left").select("uid", "body", "once")
+    both = texts.where(F.col("n") >= shortest(length, words)).join(once, "uid", "left").select("uid", "body", "once")
     return written(small_batches(both).mapInArrow(run, out), "segments")
 
 
@@ -423,6 +499,53 @@ def repeats_in_parts(bodies: DataFrame, length: int, parts: int) -> tuple[DataFr
     return made.where("ranges is not null").select("g1", "g2", "ranges"), made.where("k1 is not null").select("g1", "g2", "k1", "k2", "at")
 
 
+def shared_passages(segs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """uid, n_shared: how many passages of a text another text has, too, of the texts that have any. segs: the segments of passages."""
+    name, ends, one = ["g1", "g2"], [F.min("uid").alias("lo"), F.max("uid").alias("hi")], F.count(F.lit(1))
+    # least and count are the same for equal segments; uid and start are of one of them
+    firsts = [F.first(c).alias(c) for c in ("least", "count", "uid", "start")]
+    named = written(segs.groupBy(*name).agg(*ends, *firsts, one.alias("places")), "passages")
+    bound = max(2000, (named.agg(F.sum("places")).first()[0] or 0) // HOT_KEYS)
+
+    def joined(rows, side, key, size):
+        if side.where(F.col(size) > bound).isEmpty():
+            return rows.join(side.drop(size).hint("merge"), key)
+        return spread_join(rows, side, key, size, bound)
+
+    whole = joined(segs.select("uid", "count", *name), named.where("lo < hi").select(*name, "places"), name, "places")
+    # what one text alone has as a whole segment meets one of each of the other segments with its gram hash
+    mixed = named.groupBy("least").agg(F.min("lo").alias("a"), F.max("hi").alias("b"), F.bool_or(F.col("lo") == F.col("hi")).alias("open"), one.alias("size"))
+    some = joined(named, written(mixed.where("a < b and open and size > 1").select("least", "size"), "mixed"), "least", "size")
+    known = F.col("lo") < F.col("hi")
+    todo = some.groupBy("uid").agg(F.collect_list(F.struct("start", "count", known.alias("known"), "places")).alias("todo"))  # a text's own segments
+
+    def start():
+        import numpy as np
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def f(uids, bodies, todos):
+            names, whose, known, times = [], [], [], []
+            for uid, body, ask in zip(uids, bodies, todos, strict=True):
+                raw = unpack(body)
+                starts, ends = (x.tolist() for x in words_of(raw))
+                for s in ask:
+                    k, n = s["start"], s["count"]
+                    names += [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(starts[k : k + n], ends[k + words - 1 : k + words - 1 + n], strict=True)]
+                    whose += [uid] * n
+                    known += [s["known"]] * n
+                    times += [s["places"]] * n
+            return [whose, *np.frombuffer(b"".join(names), np.int64).reshape(-1, 2).T.copy(), known, times]
+
+        return f
+
+    each = written(map_batches(texts.select("uid", "body").join(todo, "uid"), start, "uid long, k1 long, k2 long, known boolean, count long"), "each")
+    twice = each.groupBy("k1", "k2").agg(*ends, F.bool_or("known").alias("known"), one.alias("size")).where("(lo < hi or known) and size > 1")
+    parts = joined(each.where("not known").select("uid", "count", "k1", "k2"), written(twice.select("k1", "k2", "size"), "twice"), ["k1", "k2"], "size")
+    return whole.select("uid", "count").unionByName(parts.select("uid", "count")).groupBy("uid").agg(F.sum("count").alias("n_shared"))
+
+
 def covered(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """Byte spans, joined where they touch, under the strings from the given ranges of starts."""
     out: list[list[int]] = []
@@ -434,13 +557,16 @@ def covered(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]
     return [(a, b) for a, b in out]
 
 
-def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, spans (removed byte spans, flat) and kept (the bytes that stay) of every row."""
+def without_repeats(documents: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """doc_id, n_bytes, spans (removed byte spans, flat) and kept (the bytes that stay) of every row.
+
+    With words (17 at least), n_shared as well: how many passages of so many words another row's text has, too.
+    """
     texts = stored(documents)
     total = texts.agg(F.sum("n")).first()[0] or 0
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) * 3 // PART_BYTES)
-    segs = cut(texts, phrases_once(texts, length), length, parts)
-    places = segs.where("uid is not null").select("uid", "start", "count", "g1", "g2")
+    segs = cut(texts, phrases_once(texts, shortest(length, words)), length, parts, words)
+    places = segs.where("uid is not null and least is null").select("uid", "start", "count", "g1", "g2")
     ranges, rows = repeats_in_parts(segs.where("part is not null").select("part", "body"), length, parts)
     if not rows.isEmpty():
         twice = rows.distinct().groupBy("k1", "k2").count().where("count > 1").select("k1", "k2")
@@ -451,12 +577,14 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     hits = places.join(named, ["g1", "g2"]).select("uid", "start", F.coalesce("ranges", F.array(F.lit(0), F.col("count").cast("int"))).alias("ranges"))
     by_text = hits.groupBy("uid").agg(F.collect_list(F.struct("start", "ranges")).alias("hits"))  # a text's own segments
 
+    shared = shared_passages(segs.where("least is not null").drop("part", "body"), texts, words) if words else None
+
     def start():
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
 
-        def f(ids, n, bodies, found):
+        def f(ids, n, bodies, found, *more):
             spans, kept = [], []
             for body, hs in zip(bodies, found, strict=True):
                 raw = unpack(body)
@@ -467,18 +595,19 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                     at = b
                 spans.append([x for s in gone for x in s])
                 kept.append(b"".join([*left, raw[at:]]) if gone else raw)
-            return [ids, n, spans, kept]
+            return [ids, n, spans, kept, *more]
 
         return f
 
-    both = texts.join(by_text, "uid", "left").select("doc_id", "n", "body", "hits")
-    return map_batches(both, start, "doc_id long, n_bytes long, spans array<long>, kept binary", text=2)
+    both = texts.join(by_text, "uid", "left")
+    if words:
+        both = both.join(shared, "uid", "left").withColumn("n_shared", F.coalesce("n_shared", F.lit(0)))
+    both = both.select("doc_id", "n", "body", "hits", *["n_shared"] * bool(words))
+    return map_batches(both, start, "doc_id long, n_bytes long, spans array<long>, kept binary" + ", n_shared long" * bool(words), text=2)
 
 
-def digest(documents: DataFrame) -> DataFrame:
-    """The query's columns."""
-    made = without_repeats(documents)
+def digest(documents: DataFrame, words: int = 0) -> DataFrame:
+    """The query's columns; with words, n_shared after them."""
+    made = without_repeats(documents, words=words)
     ends = F.expr("aggregate(spans, 0L, (s, x) -> x - s)")  # alternating sum: removed bytes
-    return made.select("doc_id", "n_bytes", ends.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
+    return made.select("doc_id", "n_bytes", ends.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), *["n_shared"] * bool(words))

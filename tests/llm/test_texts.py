@@ -95,6 +95,33 @@ def test_repeats_of_other_lengths(spark):
         assert [got[k] for k, _ in rows] == want, n
 
 
+def brute_shared(rows, words):
+    found = [[b[x.start() : y.end()] for x, y in zip(w, w[words - 1 :], strict=False)] for b in rows for w in [list(re.finditer(rb"[^\x20\x09-\x0d]+", b))]]
+    seen = Counter(p for f in found for p in set(f))
+    return [sum(seen[p] > 1 for p in f) for f in found]
+
+
+def test_shared_passages(spark, monkeypatch):
+    """A passage of over 50 words, below 400 bytes, counts where another text has it; the digest's other columns stay."""
+    r = random.Random(8)
+    word = lambda n=5: "".join(r.choices("abcdefgh", k=n))
+    some = lambda n: [word() for _ in range(n)]
+    short = [" ".join(word(r.randint(1, 9)) for _ in range(r.choice([50, 51, 57]))) for _ in range(5)]
+    rows = [(i, " ".join([*some(r.randint(0, 150)), short[i % 5], *some(r.randint(0, 150))])) for i in range(25)]
+    rows += [(50 + i, " ".join(some(r.randint(30, 150)))) for i in range(10)]
+    twice = " ".join(some(60))
+    rows += [(70, " ".join([twice, *some(40), twice])), (71, short[0]), (72, " ".join(short[1].split(" ")[:49])), (73, short[2].replace(" ", "\n", 1)), (74, "\t " + short[3] + "\r\n")]
+    rows += [(75, "a " * 200), (76, " ".join("a" * 60)), (77, " ".join("b" * 300)), (78, None), (79, ""), (80, " \n "), (81, " ".join(["é"] * 70)), rows[3], (None, rows[4][1] + " x"), (82, twice[: twice.rindex(" ")]), (83, rows[5][1]), (84, rows[5][1])]
+    df, _ = frame(spark, rows)
+    raw = [(t or "").encode() for _, t in rows]
+    want = Counter((k, *v, n) for (k, _), v, n in zip(rows, brute_repeats(raw, 400), brute_shared(raw, 50), strict=True))
+    assert all(len(x) < 400 for x in short[:2]) and sum(n > 0 == v[1] for *v, n in (x[1:] for x in want)) > 5
+    assert Counter(tuple(x) for x in repeats.digest(df, 50).collect()) == want
+    monkeypatch.setattr(repeats, "SPLIT", 3)
+    assert Counter((x["doc_id"], x["n_shared"]) for x in repeats.without_repeats(df, 400, 17).collect()) == Counter((k, n) for (k, _), n in zip(rows, brute_shared(raw, 17), strict=True))
+    assert repeats.digest(empty(spark), 50).collect() == []
+
+
 def test_media(spark):
     df, rows = frame(spark)
     got = defaultdict(set)
