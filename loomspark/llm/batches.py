@@ -15,6 +15,8 @@ from loomspark.sources.workspace import written
 #: Texts are handed on in groups of about this many characters, so that memory does not follow the length of texts.
 CHARS_AT_ONCE = 2_000_000
 ROWS_AT_ONCE = 2000
+#: Bytes in memory of a side that side_join and side_of broadcast, at most: below it a shuffle's tasks cost more than its rows.
+SIDE_BYTES = 3_000_000
 
 
 def schema_of(ddl: str | StructType) -> StructType:
@@ -72,10 +74,20 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def fits_in(df: DataFrame, bound: int) -> bool:
+    """Whether the rows of a written table of fixed-width columns take bound bytes in memory at most."""
+    width = sum(64 if f.dataType.simpleString() == "string" else 8 for f in df.schema.fields) + 40
+    return df.count() * width <= bound
+
+
 def small_enough(df: DataFrame, bound: int = 64_000_000) -> DataFrame:
     """A written table of fixed-width columns, to be broadcast if its rows take less than bound bytes in memory, else to be merged."""
-    width = sum(64 if f.dataType.simpleString() == "string" else 8 for f in df.schema.fields) + 40
-    return F.broadcast(df) if df.count() * width <= bound else df.hint("merge")
+    return F.broadcast(df) if fits_in(df, bound) else df.hint("merge")
+
+
+def side_of(df: DataFrame) -> DataFrame:
+    """small_enough, with SIDE_BYTES as its bound."""
+    return small_enough(df, SIDE_BYTES)
 
 
 def spread_join(rows: DataFrame, side: DataFrame, key: str, size: str, bound: int) -> DataFrame:
@@ -90,6 +102,11 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, size: str, bound: in
     return hot.unionByName(other)
 
 
+def side_join(rows: DataFrame, side: DataFrame, key: str, size: str, bound: int) -> DataFrame:
+    """spread_join for a side of fixed-width columns, which is broadcast whole if it takes SIDE_BYTES at most: rows needn't be shuffled then."""
+    return rows.join(F.broadcast(side.drop(size)), key) if fits_in(side, SIDE_BYTES) else spread_join(rows, side, key, size, bound)
+
+
 def carried(documents: DataFrame, judged: DataFrame, mark: Column) -> DataFrame:
     """The rows of documents that stay, with their columns, in order.
 

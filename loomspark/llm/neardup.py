@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.batches import carried, groups, map_batches, schema_of, small_batches, spread_join, texts_of
+from loomspark.llm import batches
+from loomspark.llm.batches import carried, groups, map_batches, schema_of, side_join, side_of, small_batches, texts_of
 from loomspark.sources.workspace import forget, written
 
 PERMUTATIONS = 192
@@ -144,11 +145,12 @@ def confirmed(pairs: DataFrame, core: DataFrame, k: int) -> DataFrame:
 
     Each hub's words are read once for every MEMBERS_AT_ONCE members, which follow them in the same partition.
     """
-    words = core.select("uid", "words")
-    many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_AT_ONCE).cast("int").alias("parts"))
-    member = pairs.join(many, "hub").join(words, "uid").select("hub", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int").alias("part"), "uid", "words")
-    hub = many.join(words, many["hub"] == words["uid"]).select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("uid"), "words")
-    both = hub.unionByName(member).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("uid").asc_nulls_first())
+    many = written(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_AT_ONCE).cast("int").alias("parts")), "many")
+    dealt = pairs.join(side_of(many.where("parts > 1")), "hub", "left")
+    member = dealt.select("hub", F.pmod(F.xxhash64("uid"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "uid", F.col("uid").alias("key"))
+    hub = many.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("uid"), F.col("hub").alias("key"))
+    words = core.select(F.col("uid").alias("key"), "words")
+    both = hub.unionByName(member).join(words, "key").drop("key").repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("uid").asc_nulls_first())
     out = schema_of("hub long, uid long")
 
     def run(batches):
@@ -170,28 +172,31 @@ def confirmed(pairs: DataFrame, core: DataFrame, k: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """uid, comp (the least uid that is reachable) of all ends of the links (a, b), by large and small stars in turn."""
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
+    """uid, comp (the least uid that is reachable) of all ends of the links (a, b), by large and small stars in turn.
+
+    links, a union of written tables, may repeat edges and turn them round. A round has two shuffles, one for each star's least
+    neighbours; the edges become no more by it. It ends when every node with a lesser neighbour has no other: then each
+    component is a star around its least node.
+    """
+    edges, made = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), None
     while True:
-        bound = max(256, edges.count() // HOT_KEYS)
-        # large star: neighbours above a node go to the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("size")), "least")
-        large = spread_join(both.where("b > a"), least, "a", "size", bound).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "large")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), (F.min("b") < F.max("b")).alias("several"), F.count(F.lit(1)).alias("size"))
+        least = written(least, "least")
+        found = least.agg(F.count_if(F.expr("m < a and several")).alias("open"), F.sum("size").alias("ends")).first()
+        if not found["open"]:
+            forget(made)
+            return least.select(F.col("a").alias("uid"), F.col("m").alias("comp"))
+        bound = max(256, found["ends"] // 2 // HOT_KEYS)
+        # large star: neighbours above a node go to the least of its neighbourhood
+        above = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        large = written(side_join(above, least.drop("several"), "a", "size", bound).select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
         # small star: a node and its lesser neighbours go to the least of them
-        lower = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("size")), "least")
-        joined = spread_join(large, lower, "a", "size", bound)
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        small = written(small, "small")
-        forget(edges, least, large, lower)
-        edges = small
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("uid"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("uid"), F.col("b").alias("comp")).distinct())
+        lower = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("size")), "lower")
+        others = side_join(large, lower, "a", "size", bound).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = written(others.unionByName(lower.select("a", F.col("m").alias("b"))), "small")
+        forget(made, least, large, lower)
+        made = edges
 
 
 def rare(core: DataFrame, uids: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -210,7 +215,7 @@ def rare(core: DataFrame, uids: DataFrame, k: int) -> tuple[DataFrame, DataFrame
 
         return f
 
-    rows = written(map_batches(core.join(uids, "uid", "left_semi").select("uid", "words"), start, "shingle long, uid long"), "shingles")
+    rows = written(map_batches(core.join(side_of(uids), "uid", "left_semi").select("uid", "words"), start, "shingle long, uid long"), "shingles")
     few = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= RARE)
     held = written(rows.join(few, "shingle"), "rare")
     sets = held.where("c > 1").groupBy("shingle").agg(F.collect_list("uid").alias("u"))  # RARE at most
@@ -224,11 +229,11 @@ def links_of(sets: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     Before members of different components are compared in the last turn, a bound leaves out what can't be similar. Pairs
     that share a rare shingle are found by it, with how many they share; any others share none of their rare ones.
     """
-    again = sets.join(classes.where("rows > 1"), ["s1", "s2"]).where("uid <> rep").select("uid")
-    first = sets.where("n > 0").join(again, "uid", "left_anti")
+    again = written(sets.join(side_of(classes.where("rows > 1").select("s1", "s2", "rep")), ["s1", "s2"]).where("uid <> rep").select("uid"), "again")
+    first = sets.where("n > 0").join(side_of(again), "uid", "left_anti")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = first.select("uid", "n", F.explode("bands").alias("band"))
-    some = first.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLED)) == 0)
+    some = written(first.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLED)) == 0).select("bands"), "some")
     hot = some.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("c"))
     hot = written(hot.where(F.col("c") >= max(8, some.count() * BANDS // HOT_KEYS)).select("band"), "hot")  # HOT_KEYS at most
     in_hot = keys.join(F.broadcast(hot), "band")
@@ -247,44 +252,47 @@ def links_of(sets: DataFrame, classes: DataFrame, k: int) -> DataFrame:
         best = rows.groupBy("band").agg(F.max_by(F.struct("uid", "n", "comp"), F.struct("company", -F.col("uid"))).alias("h"), F.count(F.lit(1)).alias("size"))
         return written(best.select("band", F.col("h.uid").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp"), "size"), "hubs")
 
-    links, comps, tested = None, None, None
+    rows, comps, tested = members.withColumn("comp", F.col("uid")), None, None
     for turn in range(3):
-        rows = members.withColumn("comp", F.col("uid")) if comps is None else members.join(comps, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-        if comps is not None:  # buckets that still hold several components
-            open_ = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("band", "size")
-            rows = written(spread_join(rows, written(open_, "bands"), "band", "size", bound), "open")
         if turn < 2:
-            pairs = spread_join(rows, hubs(rows), "band", "size", bound).where(fits & (F.col("comp") != F.col("hub_comp")))
+            pairs = side_join(rows, hubs(rows), "band", "size", bound).where(fits & (F.col("comp") != F.col("hub_comp")))
         else:
-            own, meet = rare(core, rows.select("uid").distinct(), k)
-            every = rows.groupBy("uid").agg(F.collect_list("band").alias("bands"))  # BANDS at most
-            mine = rows.join(own, "uid", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own", "company").join(every, "uid")
+            # uid, n, comp and bands, BANDS at most, of each member
+            every = written(rows.groupBy("uid").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_list("band").alias("bands")), "every")
+            own, meet = rare(core, every.select("uid"), k)
+            every = written(every.join(own, "uid", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"), "every")
             # members outside the largest component of a bucket meet the others; a bucket's members are dealt over several tasks
-            held = mine.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
+            held = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
             largest = held.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.sum("c").alias("size"))
             largest = written(largest.withColumn("deals", F.ceil(F.col("size") / DEALT_AT_ONCE).cast("int")), "largest")
-            mine = spread_join(mine, largest, "band", "size", bound).withColumn("deal", F.pmod(F.xxhash64("uid"), F.col("deals")).cast("int"))
-            mine = written(mine, "mine")
+            mine = side_join(rows.select("band", "uid"), largest, "band", "size", bound).withColumn("deal", F.pmod(F.xxhash64("uid"), F.col("deals")).cast("int"))
+            mine = written(mine.join(every, "uid"), "mine")
             other = mine.where("comp <> big").select("band", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("uid").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), F.col("most").alias("hub_most"), F.col("bands").alias("hub_bands"))
             here = F.array_min(F.array_intersect("bands", "hub_bands")) == F.col("band")  # a pair counts in one of its buckets
             can = F.lit(SIMILAR[0] + SIMILAR[1]) * (F.least("most", "hub_most") + F.col("both")) >= F.lit(SIMILAR[0]) * (F.col("n") + F.col("hub_n"))
             once = ((F.col("comp") == F.col("big")) | (F.col("comp") < F.col("hub_comp"))) & (F.col("comp") != F.col("hub_comp"))
             pairs = mine.withColumn("both", F.lit(0)).join(other.hint("shuffle_hash"), ["band", "deal"]).where(fits & can & once & here)
-            one = mine.select("uid", "n", "comp", "most").distinct()
+            one = every.drop("bands")
             ends = one.select(F.col("uid").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), F.col("most").alias("hub_most"))
-            pairs = pairs.select("hub", "uid").unionByName(meet.join(one, "uid").join(ends, "hub").where(fits & can & (F.col("comp") != F.col("hub_comp"))).select("hub", "uid"))
+            rest = meet.join(side_of(one), "uid").join(side_of(ends), "hub").where(fits & can & (F.col("comp") != F.col("hub_comp")))
+            pairs = pairs.select("hub", "uid").unionByName(rest.select("hub", "uid"))
         pairs = pairs.select("hub", "uid").distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["hub", "uid"], "left_anti")
+            pairs = pairs.join(side_of(tested), ["hub", "uid"], "left_anti")
         pairs = written(pairs, "pairs")
+        if turn and pairs.isEmpty():
+            continue
         found = written(confirmed(pairs, core, k), "links")
         both = pairs.unionByName(pairs.select(F.col("uid").alias("hub"), F.col("hub").alias("uid")))
         tested = both if tested is None else tested.unionByName(both)
         if turn and found.isEmpty():
             continue
         edge = found.select(F.col("hub").alias("a"), F.col("uid").alias("b"))
-        links = edge if links is None else links.unionByName(edge)
-        comps = written(components(links), "comps")
+        comps = components(edge if comps is None else edge.unionByName(comps.select(F.col("uid").alias("a"), F.col("comp").alias("b"))))
+        if turn < 2:  # buckets that still hold several components
+            rows = members.join(side_of(comps), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+            open_ = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("band", "size")
+            rows = written(side_join(rows, written(open_, "bands"), "band", "size", bound), "open")
     return comps
 
 
@@ -293,20 +301,24 @@ def judged(documents: DataFrame, k: int = 5) -> DataFrame:
     sets = sets_of(documents, k)
     classes = written(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("rows")), "classes")
     comps = links_of(sets, classes, k)
-    linked = classes.join(comps.withColumnRenamed("uid", "rep"), "rep")
-    least = linked.groupBy("comp").agg(F.min("lo").alias("least"))
-    of_class = linked.join(least, "comp").select("rep", "least", "comp")
     # classes of one document that aren't linked need no row here
-    named = classes.join(of_class, "rep", "left").where("rows > 1 or comp is not null")
-    named = written(named.select("s1", "s2", F.when(F.col("comp").isNull(), F.col("lo")).otherwise(F.col("least")).alias("component"), F.coalesce("comp", "rep").alias("comp"), F.col("rows").alias("size")), "named")
+    linked = written(classes.join(side_of(comps.withColumnRenamed("uid", "rep")), "rep", "left").where("rows > 1 or comp is not null"), "linked")
     bound = max(256, sets.count() // HOT_KEYS)
+    least = written(linked.where("comp is not null").groupBy("comp").agg(F.min("lo").alias("component"), F.count(F.lit(1)).alias("classes")), "least")
+    tied = side_join(linked.where("comp is not null"), least, "comp", "classes", bound).select("s1", "s2", "component", "comp", F.col("rows").alias("size"))
+    alone = linked.where("comp is null").select("s1", "s2", F.col("lo").alias("component"), F.col("rep").alias("comp"), F.col("rows").alias("size"))
+    named = written(tied.unionByName(alone), "named")
     rows = sets.select("doc_id", "n", "s1", "s2", "mark", "uid")
-    many = named.where(F.col("size") > bound)  # HOT_KEYS at most
-    keys = F.struct("s1", "s2")
-    hot = rows.withColumn("set", keys).join(F.broadcast(many.select(keys.alias("set"), "component", "comp")), "set").drop("set")
-    other = rows.join(F.broadcast(many.select("s1", "s2")), ["s1", "s2"], "left_anti").join(named.where(F.col("size") <= bound).drop("size").hint("merge"), ["s1", "s2"], "left")
+    if batches.fits_in(named, batches.SIDE_BYTES):
+        told = rows.join(F.broadcast(named.drop("size")), ["s1", "s2"], "left")
+    else:
+        many = named.where(F.col("size") > bound)  # HOT_KEYS at most
+        keys = F.struct("s1", "s2")
+        hot = rows.withColumn("set", keys).join(F.broadcast(many.select(keys.alias("set"), "component", "comp")), "set").drop("set")
+        other = rows.join(F.broadcast(many.select("s1", "s2")), ["s1", "s2"], "left_anti").join(named.where(F.col("size") <= bound).drop("size").hint("merge"), ["s1", "s2"], "left")
+        told = hot.unionByName(other)
     component = F.when(F.col("comp").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return hot.unionByName(other).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "mark", "comp", "uid")
+    return told.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "mark", "comp", "uid")
 
 
 def group(documents: DataFrame, k: int = 5) -> DataFrame:
